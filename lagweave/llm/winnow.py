@@ -197,3 +197,14 @@ def named_items(benchmark: DataFrame) -> DataFrame:
 
 def digests(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
+    """docs without rows that share a window with an item; rows of equal doc_id stand or fall together.
+
+    Rows without a doc_id are judged by their text: the anti-join is null-safe on doc_id and on a text hash.
+    """
+    key = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.octet_length("text"), F.lit(0))]
+    keyed = docs.select(F.struct(*(k.alias(n) for k, n in zip(key, ("id", "h", "n")))).alias("doc_id"), "text")
+    bad = decontaminate(keyed, benchmark, span).where("n_hit > 0").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.h").alias("__h"), F.col("doc_id.n").alias("__n")).distinct()
+    return docs.join(bad, key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__h")) & (key[2] == F.col("__n")), "left_anti").select(docs.columns)
