@@ -17,7 +17,7 @@ ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 #: The characters that ALNUM blanks, for F.translate.
-BLANKED = "".join(chr(c) for c in range(1, 128) if ALNUM[c] == 32)
+BLANKED = "".join(chr(c) for c in range(128) if ALNUM[c] == 32)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, simhash, toxicity, winnow
+from . import bpe, kd_shards, license_scan, line_dedup, pii, simhash, toxicity, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,23 @@ def op5_decontamination(spark, sf_dir):
     return winnow.digests(winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_kd_shards(spark, sf_dir):
+    return kd_shards.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.bpe(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_license_scan(spark, sf_dir):
+    return license_scan.shown(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_pii(spark, sf_dir):
+    return pii.shown(pii.extract(table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, toxicity.label_columns(table(spark, sf_dir, "labels"))))
@@ -40,6 +52,6 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_simhash_near_dedup, op5_decontamination, op7_bpe, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_simhash_near_dedup, op5_decontamination, op6_kd_shards, op7_bpe, op8_license_scan, op9_pii, op10_toxicity, pipeline)}
 
 SQL: dict[str, str] = {}
