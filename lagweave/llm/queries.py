@@ -5,17 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_shards, license_scan, line_dedup, pii, simhash, toxicity, winnow
+from . import bpe, kd_shards, license_scan, line_dedup, lm_trie, media, pii, simhash, toxicity, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark, sf_dir):
+    return media.features(media.load(spark, media.store(table(spark, sf_dir, "documents"))))
+
+
 def op2_line_dedup(spark, sf_dir):
     return line_dedup.drop_boilerplate(line_dedup.page_lines(table(spark, sf_dir, "pages")))
 
 
+def op3_lm_score(spark, sf_dir):
+    return lm_trie.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.shown(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -52,6 +60,6 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_simhash_near_dedup, op5_decontamination, op6_kd_shards, op7_bpe, op8_license_scan, op9_pii, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_line_dedup, op3_lm_score, op4_simhash_near_dedup, op5_decontamination, op6_kd_shards, op7_bpe, op8_license_scan, op9_pii, op10_toxicity, pipeline)}
 
 SQL: dict[str, str] = {}
