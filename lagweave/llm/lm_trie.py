@@ -124,7 +124,7 @@ def count_blocks(batches, shards: int):
         words, n = counted(all_)  # the start context too: its count is that of texts
         at = word_shard(words, shards)
         cuts = np.searchsorted(at, np.arange(shards + 1))
-        rows = [(1, s, words[a:b].astype("<u8").tobytes() + n[a:b].astype("<u8").tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        rows = [(1, s, words[a:b].astype("<u8").tobytes() + n[a:b].astype("<u4").tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         rank = np.searchsorted(words, all_)
         starts = np.cumsum([0, *map(len, arrays)])
         follow = np.ones(len(all_) - 1, bool)
@@ -147,13 +147,13 @@ def gather(folder: str):
         level, shard = (x.as_py() for x in key)
         raws = [x.as_py() for x in table.column("packed")]
         if level == 1:
-            parts = [np.frombuffer(r, "<u8").reshape(2, -1) for r in raws]
+            parts = [(np.frombuffer(r, "<u8", len(r) // 12), np.frombuffer(r, "<u4", len(r) // 12, len(r) // 12 * 8)) for r in raws]
             h, n = counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
             write_arrays(f"{folder}/1-{shard}", encode(h, 1 << 64) | {"count": n.astype("<i8")}, {})
             real = h != U(START)
             return pa.table({"level": [1], "words": [int(real.sum())], "tokens": [int(n[real].sum())]})
         v, w, n = counted_pairs(*map(np.concatenate, zip(*map(unpack_pairs, raws))))
-        write_arrays(f"{folder}/counts-{shard}", {"v": v.astype("<u8"), "w": w.astype("<u8"), "n": n.astype("<u4")}, {})
+        write_arrays(f"{folder}/counts-{shard}", {"packed": np.frombuffer(pack_pairs(v, w, n), np.uint8)}, {})
         return pa.table({"level": [2], "words": [len(v)], "tokens": [int(n.sum())]})
 
     return run
@@ -203,7 +203,7 @@ def smooth(folder: str, shards: int, missing: set[int], tokens: int, words: int)
         for b in batches:
             for shard in b.column("shard").to_pylist():
                 got, _ = open_arrays(f"{folder}/counts-{shard}")
-                v, w, n = got["v"], got["w"], got["n"]
+                v, w, n = unpack_pairs(got["packed"])
                 first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
                 contexts, rank = np.array(v[first]), np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
                 heads, inverse = np.unique(w, return_inverse=True)
