@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import BasisSpec
 from .crossbasis import CrossBasis
 from .glm import fit_by
-from .predict import crosspred, crossreduce, percentile_grid
+from .predict import crossreduce, percentile_grid
 
 
 @dataclass
@@ -189,4 +189,3 @@ def pooled_mmt(mmts: DataFrame) -> DataFrame:
     return mmts.agg(F.count("*").alias("n"), F.median("mmt").alias("median_mmt"), F.avg("mmt").alias("mean_mmt"), F.stddev_pop("mmt").alias("sd_mmt"))
 
 
-__all__ = ["MetaFit", "mvmeta", "blup", "multi_location", "location_mmt", "pooled_mmt", "meta_inputs", "crosspred"]

@@ -75,7 +75,7 @@ def compare(df: DataFrame, y: str, t: str, configurations: dict = CONFIGURATIONS
     for name, (h, trend) in configurations.items():
         keep = [i for i, k in enumerate(names) if k == "one" or k == "trend" and trend or k not in ("one", "trend") and int(k[3:]) <= h]
         fit = least_squares(g, c, yy, n, keep)
-        rows.append((name, len(keep), 1 - fit["rss"] / total, fit["aic"], fit["bic"]))
+        rows.append((name, len(keep), float(1 - fit["rss"] / total), float(fit["aic"]), float(fit["bic"])))
     return df.sparkSession.createDataFrame(rows, "config string, n_terms int, r2 double, aic double, bic double")
 
 
