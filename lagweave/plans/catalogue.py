@@ -20,6 +20,8 @@ from . import series
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "flagship_effects"
+#: Added before rounding on both sides: means of cents often lie half-way, where the last bit would decide.
+NUDGE = 1e-09
 
 
 def query(sql: str | None = None):
@@ -33,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def r6(c):
-    return F.round(c, 6) + F.lit(0.0)
+    return F.round(c + F.lit(NUDGE), 6) + F.lit(0.0)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def q6(e: str) -> str:
-    return f"(round(CAST({e} AS DOUBLE), 6) + 0.0)"
+    return f"(round(CAST({e} AS DOUBLE) + {NUDGE!r}, 6) + 0.0)"
 
 
 # -- series ------------------------------------------------------------------------------------------------
@@ -58,14 +60,14 @@ REGION = (
 KNOTS = "k AS (SELECT quantile_cont(x, 0.1) AS k10, quantile_cont(x, 0.25) AS k25, quantile_cont(x, 0.5) AS k50, quantile_cont(x, 0.75) AS k75, quantile_cont(x, 0.9) AS k90, min(x) AS lo, max(x) AS hi, max(abs(x)) AS top, avg(x) AS mean FROM s)"
 
 
-@query(f"WITH {SHIP} SELECT DATE '1995-01-01' + t AS d, t, y, {q6('x')} AS x FROM s")
+@query(f"WITH {SHIP} SELECT CAST(DATE '1995-01-01' + t AS VARCHAR) AS d, t, y, {q6('x')} AS x FROM s")
 def series_daily(spark, sf_dir):
-    return rounded(series.ship_daily(spark, sf_dir))
+    return rounded(series.ship_daily(spark, sf_dir).withColumn("d", F.col("d").cast("string")))
 
 
-@query(f"WITH {REGION} SELECT r_name, DATE '1995-01-01' + t AS d, t, y, {q6('x')} AS x FROM r")
+@query(f"WITH {REGION} SELECT r_name, CAST(DATE '1995-01-01' + t AS VARCHAR) AS d, t, y, {q6('x')} AS x FROM r")
 def series_region(spark, sf_dir):
-    return rounded(series.region_daily(spark, sf_dir))
+    return rounded(series.region_daily(spark, sf_dir).withColumn("d", F.col("d").cast("string")))
 
 
 @query(f"SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t, count(*) AS y, {q6('avg(value)')} AS x FROM events GROUP BY 1, 2")
@@ -85,7 +87,7 @@ def lag_matrix(spark, sf_dir):
     return rounded(df.select("r_name", "t", *(f"lag{k}" for k in range(4)), "lag_m1"))
 
 
-@query(f"WITH {SHIP} SELECT unnest(['ns', 'ns', 'ns', 'bs']) AS fun, unnest([round(v, 6) + 0.0 for v in quantile_cont(x, [0.25, 0.5, 0.75, 0.5])]) AS knot FROM s")
+@query(f"WITH {SHIP} SELECT unnest(['ns', 'ns', 'ns', 'bs']) AS fun, unnest([round(v + 1e-09, 6) + 0.0 for v in quantile_cont(x, [0.25, 0.5, 0.75, 0.5])]) AS knot FROM s")
 def knots_quantile(spark, sf_dir):
     s = series.ship_daily(spark, sf_dir)
     rows = [("ns", k) for k in lags.equalknots(s, "x", "ns", 4)] + [("bs", k) for k in lags.equalknots(s, "x", "bs", 5)]
@@ -423,7 +425,7 @@ def attr_rollup(spark, sf_dir):
 
 def lagged_attribution_sql() -> str:
     terms = ["x / top - 25.0 / top", "(x / top) ** 2 - (25.0 / top) ** 2"]
-    inner = cross_sql(f"{SHIP}, {KNOTS}", "s", terms, POLY_C).replace("(round(CAST(", "((CAST(").replace("AS DOUBLE), 6) + 0.0)", "AS DOUBLE)))")
+    inner = cross_sql(f"{SHIP}, {KNOTS}", "s", terms, POLY_C).replace("(round(CAST(", "((CAST(").replace(f"AS DOUBLE) + {NUDGE!r}, 6) + 0.0)", "AS DOUBLE)))")
     return f"SELECT {q6('sum(a)')} AS an, {q6('sum(a) / sum(y)')} AS af FROM (WITH w AS ({inner}), {SHIP} SELECT y, (1 - exp(-(0.08 * v1_l1 - 0.05 * v1_l2 - 0.06 * v2_l1 + 0.04 * v2_l2))) * y AS a FROM w JOIN s USING (t) WHERE v1_l1 IS NOT NULL)"
 
 
