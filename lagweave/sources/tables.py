@@ -27,11 +27,10 @@ def read_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def load_dataset(spark: SparkSession, name: str, folder: str) -> DataFrame:
-    """'chicago', 'drug' or 'nested' from <folder>/<file>.csv."""
-    files = {"chicago": "chicago_nmmaps.csv", "drug": "drug.csv", "nested": "nested.csv"}
-    if name not in files:
-        raise ValueError(f"name: one of {sorted(files)}")
-    return read_csv(spark, name, f"{folder}/{files[name]}")
+    """'chicago', 'drug' or 'nested' from <folder>/<name>.csv."""
+    if name not in ("chicago", "drug", "nested"):
+        raise ValueError("name: chicago, drug or nested")
+    return read_csv(spark, name, f"{folder}/{name}.csv")
 
 
 def dose_history(drug: DataFrame, name: str = "history") -> DataFrame:
@@ -55,10 +54,10 @@ def city_summary(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n_days"), F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(x).alias("x_mean"), F.sum(y).alias("total"))
 
 
-def read_curves(spark: SparkSession, path: str) -> DataFrame:
-    """Curves of a folder of rr_curve_<Region>.csv, with the region from the file name."""
-    df = spark.read.schema(SCHEMAS["curves"]).csv(path, header=True, pathGlobFilter="rr_curve_*.csv")
-    stem = F.regexp_extract("_metadata.file_name", r"rr_curve_(.*)\.csv", 1)
+def read_curves(spark: SparkSession, path: str, prefix: str = "curve_") -> DataFrame:
+    """Curves of a folder of <prefix><Region>.csv, with the region from the file name."""
+    df = spark.read.schema(SCHEMAS["curves"]).csv(path, header=True, pathGlobFilter=f"{prefix}*.csv")
+    stem = F.regexp_extract("_metadata.file_name", rf"{prefix}(.*)\.csv", 1)
     return df.select("*", F.when(stem.startswith("Yorkshire"), "Yorkshire & Humber").otherwise(F.regexp_replace(stem, "_", " ")).alias("region"))
 
 

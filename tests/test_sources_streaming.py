@@ -8,7 +8,7 @@ from lagweave.streaming import histories
 
 
 def test_csv_sources(spark, tmp_path):
-    (tmp_path / "chicago_nmmaps.csv").write_text("date,time,year,month,doy,dow,death,cvd,resp,temp,dptp,rhum,pm10,o3\n1987-01-01,1,1987,1,1,5,130,65,13,-0.28,31.5,95,26.9,4.3\n1987-01-02,2,1987,1,2,6,150,73,14,NaN,29.9,88,,5.1\n")
+    (tmp_path / "chicago.csv").write_text("date,time,year,month,doy,dow,death,cvd,resp,temp,dptp,rhum,pm10,o3\n1987-01-01,1,1987,1,1,5,130,65,13,-0.28,31.5,95,26.9,4.3\n1987-01-02,2,1987,1,2,6,150,73,14,NaN,29.9,88,,5.1\n")
     df = tables.load_dataset(spark, "chicago", str(tmp_path))
     a, b = df.orderBy("date").collect()
     assert a.temp == -0.28 and b.temp is None and b.pm10 is None and str(a.date) == "1987-01-01"
@@ -37,7 +37,7 @@ def test_cities_curves_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 2 and (tmp_path / "out" / "cityAbb=ny").exists()
     for n in ("North_East", "Yorkshire_&_Humber"):
         (tmp_path / "curves").mkdir(exist_ok=True)
-        (tmp_path / "curves" / f"rr_curve_{n}.csv").write_text("temperature,rr_fit,rr_low,rr_high,mmt\n1.0,1.1,1.0,1.2,17\n")
+        (tmp_path / "curves" / f"curve_{n}.csv").write_text("temperature,rr_fit,rr_low,rr_high,mmt\n1.0,1.1,1.0,1.2,17\n")
     assert {r.region for r in tables.read_curves(spark, str(tmp_path / "curves")).collect()} == {"North East", "Yorkshire & Humber"}
     assert tables.city_summary(s, "State", "TMean", "Death").count() == 2
 
