@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM
 
-MAX_TRAIN, FEATURES, FOLDS, PENALTY, BETA = 12_000, 128, 5, 0.5, 0.5
+MAX_TRAIN, FEATURES, FOLDS, PENALTY, BETA = 12_000, 256, 5, 0.5, 0.5
 CATEGORIES = ("low_quality", "toxic")
 
 

@@ -10,8 +10,8 @@ def test_held_out_accuracy(spark, documents):
     chain = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
     got = toxicity.score(docs, chain).join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "y"), "doc_id").toPandas()
     hit, said, is_ = int((got.toxic & (got.y == 1)).sum()), int(got.toxic.sum()), int((got.y == 1).sum())
-    # A part of the toxic labels stands on ordinary text (no model can tell it), so recall has a limit below 1.
-    assert hit / said > 0.95 and hit / is_ > 0.75
+    # The words that tell are inflected; those that the sample has too seldom bound recall.
+    assert hit / said > 0.95 and hit / is_ > 0.8
     rude = docs.where("text rlike '(?i)\\\\b(idiot|moron|scum|loser|clown|trash|stupid|pathetic|worthless|disgusting)\\\\b'")
     found = toxicity.score(rude, chain)
     assert found.where("toxic").count() > 0.97 * found.count()
