@@ -125,7 +125,18 @@ def shown(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least doc_id; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rest = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns).union(rest)
+    """docs without near-duplicates: one row of each component stays, the least by doc_id and then by a hash of the text.
+
+    Rows are told by doc_id and text, so different texts under one doc_id are judged apart, and of equal rows one
+    stays. Rows without doc_id stay.
+    """
+    text = F.coalesce("text", F.lit(""))
+    parts = {"id": F.col("doc_id"), "__h": F.xxhash64(text), "__n": F.octet_length(text)}
+    named = docs.where("doc_id is not null")
+    # A null key takes part in a component but never names it.
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(*(c.alias(n) for n, c in parts.items())))
+    first = near_duplicates(docs.select(key.alias("doc_id"), "text")).where("doc_id = component_id")
+    kept = first.select(F.col("doc_id.id").alias("doc_id"), "doc_id.__h", "doc_id.__n").distinct()
+    marked = named.withColumns({n: parts[n] for n in ("__h", "__n")})
+    one = marked.join(kept, ["doc_id", "__h", "__n"], "left_semi").dropDuplicates(["doc_id", "__h", "__n"])
+    return one.select(docs.columns).union(docs.where("doc_id is null"))

@@ -78,6 +78,17 @@ def test_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_doc_id_with_different_texts(spark):
+    """Each component keeps a row, whatever doc_ids its rows share; the choice doesn't depend on the order of rows."""
+    far = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue cyan pink grey"]
+    rows = [(1, far[0]), (1, far[1]), (1, far[0]), (2, far[0]), (3, far[2]), (2, far[2]), (None, far[0])]
+    want = sorted([(1, far[0]), (1, far[1]), (2, far[2])])
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id bigint, text string").repartition(3))
+        assert sorted(tuple(r) for r in kept.where("doc_id is not null").collect()) == want
+        assert kept.where("doc_id is null").count() == 1
+
+
 def test_key_masks_grow_with_the_count():
     for count in (1, 10**6, 10**9, 10**12):
         masks = simhash.key_masks(count)
