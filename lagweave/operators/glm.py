@@ -128,12 +128,16 @@ def invert(a: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(a * s[:, None] * s, rcond=1e-11, hermitian=True) * s[:, None] * s
 
 
-def fit_glm(df: DataFrame, y: str, names: Sequence[str], family: str = "poisson", offset: str | None = None, max_iter: int = 30, tol: float = 1e-9) -> FitResult:
-    """y ~ 1 + names on complete rows. df should be cached by the caller if it is dear to compute."""
+def fit_glm(df: DataFrame, y: str, names: Sequence[str], family: str = "poisson", offset: str | None = None, max_iter: int = 30, tol: float = 1e-9, ridge: float = 0.0) -> FitResult:
+    """y ~ 1 + names on complete rows. df should be cached by the caller if it is dear to compute.
+
+    ridge adds ridge / 2 times the squared coefficients, but for the intercept's, to the mean of half the deviance.
+    """
     if family not in FAMILIES:
         raise ValueError(f"family: one of {FAMILIES}")
     x = df.select(F.lit(1.0).alias("(intercept)"), *(F.col(n).cast("double").alias(n) for n in names), F.col(y).cast("double").alias("_y"), (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("_o"))
     p, beta, dev, converged = len(names) + 1, None, np.inf, False
+    shrunk = ridge * np.diag([0.0] + [1.0] * len(names))
     for _ in range(max_iter):
         now = beta
 
@@ -143,7 +147,7 @@ def fit_glm(df: DataFrame, y: str, names: Sequence[str], family: str = "poisson"
             return xs, z - o if now is not None else z - o, w, d
 
         a, b, n, _, d = _pass(x, p, step)
-        beta = solve(a, b)
+        beta = solve(a + n * shrunk, b)
         if now is not None and abs(dev - d) <= tol * (abs(d) + 0.1):
             converged = True
             break
@@ -157,7 +161,8 @@ def fit_glm(df: DataFrame, y: str, names: Sequence[str], family: str = "poisson"
     a, _, n, pearson, dev = _pass(x, p, last)
     free = n - int(np.linalg.matrix_rank(a * np.outer(s := 1 / np.sqrt(np.maximum(np.diag(a), 1e-300)), s)))
     phi = pearson / free if family in ("gaussian", "quasipoisson", "gamma") and free > 0 else 1.0
-    return FitResult(["(intercept)", *names], beta, phi * invert(a), family, LINKS.get(family, "log"), phi, dev, n, free, converged)
+    inverse = invert(a + n * shrunk)
+    return FitResult(["(intercept)", *names], beta, phi * (inverse @ a @ inverse if ridge else inverse), family, LINKS.get(family, "log"), phi, dev, n, free, converged)
 
 
 def irls(x: np.ndarray, y: np.ndarray, family: str, offset: np.ndarray | None = None, max_iter: int = 30, tol: float = 1e-9):

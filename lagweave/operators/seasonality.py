@@ -51,33 +51,58 @@ def least_squares(g: np.ndarray, c: np.ndarray, yy: float, n: int, keep: Sequenc
     return {"coef": beta, "rss": rss, "aic": n * math.log(mse) + 2 * k, "bic": n * math.log(mse) + math.log(max(n, 1)) * k}
 
 
-def decompose(df: DataFrame, y: str, t: str, n_harmonics: int = 2, period: float = YEAR) -> DataFrame:
-    """df with trend, seasonal and residual of y = a + b t + harmonics."""
-    cols = {"one": F.lit(1.0), "slope": F.col(t).cast("double"), **harmonic(F.col(t), n_harmonics, period)}
+def flexible(t: Column, components: Sequence[dict], period: float = YEAR) -> dict[str, Column]:
+    """The columns of several bases side by side; each component names its type and that basis's own arguments."""
+    out = {}
+    for i, c in enumerate(components, 1):
+        out |= {f"c{i}_{k}": v for k, v in seasonal_basis(t, c["type"], period=period, **{k: v for k, v in c.items() if k != "type"}).items()}
+    return out
+
+
+BASES = {"harmonic": harmonic, "spline": seasonal_spline, "flexible": flexible}
+
+
+def seasonal_basis(t: Column, method: str = "harmonic", **kw) -> dict[str, Column]:
+    """The columns of a seasonal basis by the name of its method."""
+    if method not in BASES:
+        raise ValueError(f"method: one of {tuple(BASES)}")
+    return BASES[method](t, **kw)
+
+
+def decompose(df: DataFrame, y: str, t: str, n_harmonics: int = 2, period: float = YEAR, method: str = "harmonic", effects: bool = False, **kw) -> DataFrame:
+    """df with trend, seasonal and residual of y = a + b t + a seasonal basis; effects: each of its columns' share too."""
+    if method == "harmonic":
+        kw = {"n_harmonics": n_harmonics} | kw
+    cols = {"one": F.lit(1.0), "slope": F.col(t).cast("double"), **seasonal_basis(F.col(t), method, period=period, **kw)}
     x = df.withColumns({f"_{k}": c for k, c in cols.items()})
     names = [f"_{k}" for k in cols]
     g, c, n, yy = gram(x, names, y)
-    beta = least_squares(g, c, yy, n)["coef"]
-    part = lambda ns: sum((F.col(k) * float(b) for k, b in zip(names, beta) if k in ns), F.lit(0.0))
-    out = x.withColumns({"trend": part(names[:2]), "seasonal": part(names[2:])})
+    beta = dict(zip(names, map(float, least_squares(g, c, yy, n)["coef"])))
+    part = lambda ns: sum((F.col(k) * beta[k] for k in ns), F.lit(0.0))
+    out = x.withColumns({"trend": part(names[:2]), "seasonal": part(names[2:])} | ({f"effect{k}": part([k]) for k in names[2:]} if effects else {}))
     return out.withColumn("residual", F.col(y) - F.col("trend") - F.col("seasonal")).drop(*names)
 
 
-CONFIGURATIONS = {f"harmonic{h}{'_trend' * tr}": (h, tr) for h in (1, 2, 3) for tr in (False, True)}
+#: Name -> method, its size (harmonics or columns), and whether a trend goes along.
+CONFIGURATIONS = {f"{m}{k}{'_trend' * tr}": (m, k, tr) for m, sizes in (("harmonic", (1, 2, 3)), ("spline", (4, 6, 8))) for k in sizes for tr in (False, True)}
 
 
 def compare(df: DataFrame, y: str, t: str, configurations: dict = CONFIGURATIONS, period: float = YEAR) -> DataFrame:
     """(config, n_terms, r2, aic, bic) of every configuration, all from one pass over the union of their columns."""
-    most = max(h for h, _ in configurations.values())
-    cols = {"one": F.lit(1.0), **harmonic(F.col(t), most, period, True)}
+    cols, has = {"one": F.lit(1.0), "trend": F.col(t).cast("double")}, {}
+    for name, (method, size, trend) in configurations.items():
+        own = seasonal_basis(F.col(t), method, period=period, **{"n_harmonics" if method == "harmonic" else "n_df": size})
+        own = {k if method == "harmonic" else f"{method}{size}_{k}": c for k, c in own.items()}
+        has[name] = ["one", *["trend"] * trend, *own]
+        cols |= own
     g, c, n, yy = gram(df.select(y, *(v.alias(f"_{k}") for k, v in cols.items())), [f"_{k}" for k in cols], y)
-    names, total, rows = list(cols), max(yy - c[0] ** 2 / max(n, 1), 1e-300), []
-    for name, (h, trend) in configurations.items():
-        keep = [i for i, k in enumerate(names) if k == "one" or k == "trend" and trend or k not in ("one", "trend") and int(k[3:]) <= h]
-        fit = least_squares(g, c, yy, n, keep)
+    at, total, rows = {k: i for i, k in enumerate(cols)}, max(yy - c[0] ** 2 / max(n, 1), 1e-300), []
+    for name, keep in has.items():
+        fit = least_squares(g, c, yy, n, [at[k] for k in keep])
         rows.append((name, len(keep), float(1 - fit["rss"] / total), float(fit["aic"]), float(fit["bic"])))
     return df.sparkSession.createDataFrame(rows, "config string, n_terms int, r2 double, aic double, bic double")
 
 
 def best(df: DataFrame, y: str, t: str, by: str = "aic") -> str:
-    return min(compare(df, y, t).collect(), key=lambda r: (r[by], r.config)).config
+    """The configuration of least AIC or BIC, or of most r2."""
+    return min(compare(df, y, t).collect(), key=lambda r: (-r[by] if by == "r2" else r[by], r.config)).config

@@ -283,6 +283,12 @@ def ols_2param(spark, sf_dir):
     return rounded(fit.to_df(spark).select("term", "coef"))
 
 
+@query(f"WITH {SHIP} SELECT term, {q6('coef')} AS coef FROM (SELECT '(intercept)' AS term, avg(y) - avg(x) * regr_sxy(y, x) / (regr_sxx(y, x) + 0.5 * count(x)) AS coef FROM s WHERE x IS NOT NULL UNION ALL SELECT 'x', regr_sxy(y, x) / (regr_sxx(y, x) + 0.5 * count(x)) FROM s)")
+def ridge_2param(spark, sf_dir):
+    fit = glm.fit_glm(series.ship_daily(spark, sf_dir), "y", ["x"], "gaussian", ridge=0.5)
+    return rounded(fit.to_df(spark).select("term", "coef"))
+
+
 # Poisson regression of y on x - 25: Newton's steps, from the logarithm of the mean.
 POISSON = f"""WITH RECURSIVE {SHIP}, d AS (SELECT CAST(y AS DOUBLE) AS y, x - 25 AS u FROM s WHERE x IS NOT NULL),
 a AS (SELECT array_agg(y ORDER BY y, u) AS ys, array_agg(u ORDER BY y, u) AS us FROM d),
@@ -448,12 +454,72 @@ def decompose_trend(spark, sf_dir):
     return rounded(seasonality.decompose(series.ship_daily(spark, sf_dir), "y", "t", 0).select("t", "trend", "residual"))
 
 
-@query()
+def sweep(name: str, source: str, keys: str, cols: list[str]) -> str:
+    """CTEs name0, name1, ...: each takes one of cols out of y and of the columns after it; b is the last one's coefficient."""
+    ctes = []
+    for i, c in enumerate(cols):
+        share = lambda r, c=c: f"(sum({r} * {c}) OVER () / sum({c} * {c}) OVER ())"
+        out = ", ".join(f"{r} - {c} * {share(r)} AS {r}" for r in [*cols[i + 1 :], "y"])
+        ctes.append(f"{name}{i} AS (SELECT {keys}, {out}{f', {share(chr(121))} AS b' if i == len(cols) - 1 else ''} FROM {f'{name}{i - 1}' if i else source})")
+    return ", ".join(ctes)
+
+
+def waves(most: int) -> dict[str, str]:
+    return {f"{f}{h}": f"{f}(CAST(t AS DOUBLE) * {2 * math.pi * h / 365.25!r})" for h in range(1, most + 1) for f in ("sin", "cos")}
+
+
+def season_splines(n: int) -> dict[str, str]:
+    inner = [repr(365.25 * i / (n - 2)) for i in range(1, n - 2)]
+    return {f"bs{n}_{i}": e for i, e in enumerate(de_boor(PLACE, ["0.0"] * 4 + inner + ["365.25"] * 4, 3)[1:], 1)}
+
+
+def frame_sql(source: str, keys: str, cols: dict[str, str]) -> str:
+    return f"f AS (SELECT {keys}, CAST(y AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS one, CAST(t AS DOUBLE) AS u, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in cols.items()) + f" FROM {source})"
+
+
+def decompose_sql(series_sql: str, source: str, keys: str, cols: dict[str, str]) -> str:
+    """y = a + b t + seasonal: slope and intercept are what is left of y on t, or on 1, once all others are taken out."""
+    last = len(cols) + 1
+    ctes = ", ".join(sweep(n, "f", keys, [*cols, *ends]) for n, ends in (("p", ["one", "u"]), ("q", ["u", "one"])))
+    shown = "round(CAST({} AS DOUBLE) + 1e-09, 4) + 0.0"
+    trend = "q.b + p.b * f.t"
+    return f"WITH {series_sql}, {frame_sql(source, keys, cols)}, {ctes} SELECT {keys}, {shown.format(trend)} AS trend, {shown.format(f'f.y - p.y - ({trend})')} AS seasonal, {shown.format('p.y')} AS residual FROM f JOIN p{last} p USING ({keys}) JOIN q{last} q USING ({keys})"
+
+
+def four_digits(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, *((F.round(F.col(c) + F.lit(NUDGE), 4) + F.lit(0.0)).alias(c) for c in ("trend", "seasonal", "residual")))
+
+
+@query(decompose_sql(REGION, "r", "r_name, t", waves(2)))
 def season_decompose(spark, sf_dir):
-    return rounded(seasonality.decompose(series.region_daily(spark, sf_dir), "y", "t").select("r_name", "t", "trend", "seasonal", "residual"))
+    return four_digits(seasonality.decompose(series.region_daily(spark, sf_dir), "y", "t"), ["r_name", "t"])
+
+
+@query(decompose_sql(SHIP, "s", "t", waves(1) | season_splines(4)))
+def season_flexible(spark, sf_dir):
+    parts = [{"type": "harmonic", "n_harmonics": 1}, {"type": "spline", "n_df": 4}]
+    return four_digits(seasonality.decompose(series.ship_daily(spark, sf_dir), "y", "t", method="flexible", components=parts), ["t"])
+
+
+def select_sql() -> str:
+    groups = {"harmonic": {k: list(waves(3))[: 2 * k] for k in (1, 2, 3)}, "spline": {k: list(season_splines(k)) for k in (4, 6, 8)}}
+    cols, chains, rows = dict(waves(3)), [], []
+    for k in (4, 6, 8):
+        cols |= season_splines(k)
+    for method, sizes in groups.items():
+        for trend in (False, True):
+            for k, own in sizes.items():
+                n = f"{method[0]}{k}{'t' * trend}_"
+                keep = ["one", *["u"] * trend, *own]
+                chains.append(sweep(n, "f", "t", keep))
+                rows.append(f"SELECT '{method}{k}{'_trend' * trend}' AS config, {len(keep)} AS n_terms, sum(y * y) AS rss FROM {n}{len(keep) - 1}")
+    return (
+        f"WITH {SHIP}, {frame_sql('s', 't', cols)}, {', '.join(chains)}, a AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(y * y) - sum(y) ** 2 / count(*) AS total FROM f), e AS ({' UNION ALL '.join(rows)}) "
+        f"SELECT config, CAST(n_terms AS INTEGER) AS n_terms, {q6('1 - rss / total')} AS r2, {q6('n * ln(rss / n) + 2 * (n_terms + 1)')} AS aic, {q6('n * ln(rss / n) + ln(n) * (n_terms + 1)')} AS bic FROM e, a"
+    )
 
 
-@query()
+@query(select_sql())
 def season_select(spark, sf_dir):
     return rounded(seasonality.compare(series.ship_daily(spark, sf_dir), "y", "t"))
 

@@ -213,6 +213,35 @@ def test_seasonality(spark, daily):
     assert math.isclose(table["harmonic1"].aic, 400 * math.log(rss / 400) + 8, rel_tol=1e-9) and seasonality.best(daily, "x", "t") in table
 
 
+def test_seasonal_methods(spark, daily):
+    parts = [{"type": "harmonic", "n_harmonics": 1}, {"type": "spline", "n_df": 5, "fun": "ns"}]
+    for method, kw in (("spline", {"n_df": 5}), ("flexible", {"components": parts})):
+        cols = seasonality.seasonal_basis(F.col("t"), method, period=120.0, **kw)
+        rows = daily.orderBy("t").select(*(c.alias(k) for k, c in cols.items())).collect()
+        m = np.column_stack([np.ones(400), np.arange(400), np.array([[*r] for r in rows])])
+        x, _ = arrays(daily)
+        beta = np.linalg.lstsq(m, x, rcond=None)[0]
+        got = seasonality.decompose(daily, "x", "t", period=120.0, method=method, effects=True, **kw).orderBy("t").collect()
+        assert np.allclose([r.residual for r in got], x - m @ beta, atol=1e-6)
+        assert np.allclose([r.seasonal for r in got], m[:, 2:] @ beta[2:], atol=1e-6)
+        assert np.allclose([sum(r[f"effect_{k}"] for k in cols) for r in got], [r.seasonal for r in got], atol=1e-9)
+    with pytest.raises(ValueError):
+        seasonality.seasonal_basis(F.col("t"), "wavelet")
+    table = seasonality.compare(daily, "x", "t").collect()
+    assert len(table) == 12 and seasonality.best(daily, "x", "t", "r2") == max(table, key=lambda r: (r.r2, r.config)).config
+
+
+def test_ridge_has_zero_gradient(spark, daily):
+    for family in ("poisson", "gaussian"):
+        fit = glm.fit_glm(daily, "y", ["x"], family, ridge=0.3, tol=1e-14)
+        x, y = arrays(daily)
+        eta = fit.coef[0] + fit.coef[1] * x
+        mu = np.exp(eta) if family == "poisson" else eta
+        assert abs((y - mu).sum()) < 1e-5 * y.sum()
+        assert math.isclose((x * (y - mu)).mean(), 0.3 * fit.coef[1], rel_tol=1e-4, abs_tol=1e-6)
+        assert abs(fit.coef[1]) < abs(glm.fit_glm(daily, "y", ["x"], family).coef[1])
+
+
 def test_penalised(spark, daily):
     cb = CrossBasis.fit(daily, "x", 4, {"fun": "bs", "df_": 6}, {"fun": "bs", "degree": 2, "df_": 4, "knots": [2.0]})
     w = cb.series(daily, "x", "t").join(daily.select("t", "y"), "t")
