@@ -42,11 +42,48 @@ def equalknots(df: DataFrame, x: str, fun: str = "ns", n_df: int = 5, degree: in
     return quantiles(df, x, [i / (n + 1) for i in range(1, n + 1)]) if n > 0 else []
 
 
+#: Distinct values up to which one aggregation buffer may hold all of a column's values and their counts.
+HELD = 2_000_000
+
+
 def quantiles(df: DataFrame, x: str, probs: Sequence[float]) -> list[float]:
-    """Exact quantiles with linear interpolation."""
+    """Exact quantiles with linear interpolation, of the values that are not NULL or NaN; [] if there are none.
+
+    The exact percentile keeps every distinct value in one buffer, so their number is checked first; beyond HELD each
+    quantile is bracketed by a sketch, and only what lies between is sorted out exactly.
+    """
     if not probs:
         return []
-    return list(df.agg(F.percentile(F.nanvl(F.col(x).cast("double"), F.lit(None)), [float(p) for p in probs])).first()[0] or [])
+    values = df.select(F.nanvl(F.col(x).cast("double"), F.lit(None)).alias("v")).where("v is not null")
+    n, distinct = values.agg(F.count("*"), F.approx_count_distinct("v")).first()
+    probs = [float(p) for p in probs]
+    if not n:
+        return []
+    if distinct <= HELD:
+        return list(values.agg(F.percentile("v", probs)).first()[0])
+    return bracketed(values, n, probs)
+
+
+def bracketed(values: DataFrame, n: int, probs: Sequence[float]) -> list[float]:
+    """Exact quantiles of v from brackets that hold the two order statistics beside each of them."""
+    share = min(0.01, max(1e-6, HELD / (8.0 * n * len(probs))))
+    at = [p * (n - 1) for p in probs]
+    while True:
+        # A sketch errs by at most `share` of the rows; open ends where a bracket would pass the first or last row.
+        ends = [(p - 2 * share, p + 2 * share) for p in probs]
+        asked = [min(1.0, max(0.0, e)) for pair in ends for e in pair]
+        got = values.agg(F.percentile_approx("v", asked, int(1 / share) + 1)).first()[0]
+        low = [got[2 * i] if e[0] > 0 else float("-inf") for i, e in enumerate(ends)]
+        high = [got[2 * i + 1] if e[1] < 1 else float("inf") for i, e in enumerate(ends)]
+        inside = [F.col("v").between(F.lit(a), F.lit(b)) for a, b in zip(low, high)]
+        counts = values.agg(*(F.count_if(F.col("v") < F.lit(a)) for a in low), *map(F.count_if, inside)).first()
+        below, held = counts[: len(probs)], counts[len(probs) :]
+        if all(b <= int(h) and min(int(h) + 2, n) <= b + m for h, b, m in zip(at, below, held)):
+            break
+        share *= 4
+    places = [(h - b) / (m - 1) if m > 1 else 0.0 for h, b, m in zip(at, below, held)]
+    exact = values.agg(*(F.percentile(F.when(i, F.col("v")), min(1.0, max(0.0, p))) for i, p in zip(inside, places))).first()
+    return list(exact)
 
 
 def logknots(x, nk: int | None = None, fun: str = "ns", n_df: int = 1, degree: int = 3, intercept: bool = True) -> list[float]:

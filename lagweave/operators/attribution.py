@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lags import quantiles
 from .crossbasis import CrossBasis
 from .predict import crosspred, crossreduce
 
@@ -50,10 +51,10 @@ def attrdl_lagged(w: DataFrame, x: str, cases: str, cb: CrossBasis, coef, range_
 
 def attr_heat_cold(df: DataFrame, x: str, cases: str, cb, coef, vcov, cen: float, percentiles=(2.5, 97.5), by: Sequence[str] = ()) -> DataFrame:
     """Cold (up to the lower percentile), heat (from the upper) and their total, in one pass after the percentiles."""
-    lo, hi = df.agg(F.percentile(x, [p / 100 for p in percentiles])).first()[0]
+    lo, hi = quantiles(df, x, [p / 100 for p in percentiles]) or (None, None)
     rows = attributed(df, x, cases, cb, coef, vcov, cen)
     part = lambda c, n: F.coalesce(F.sum(F.when(c, F.col("an"))), F.lit(0.0)).alias(n)
-    cold, heat = F.col(x) <= lo, F.col(x) >= hi
+    cold, heat = F.col(x) <= F.lit(lo), F.col(x) >= F.lit(hi)
     return rows.groupBy(*by).agg(part(cold, "an_cold"), part(heat, "an_heat"), part(cold | heat, "an_total"), F.sum(cases).alias("cases"))
 
 
@@ -63,7 +64,7 @@ BANDS = ((0, 2.5), (2.5, 25), (25, 50), (50, 75), (75, 97.5), (97.5, 100))
 def attr_by_percentiles(df: DataFrame, x: str, cases: str, cb, coef, vcov, cen: float, bands=BANDS, by: Sequence[str] = ()) -> DataFrame:
     """A row per percentile band, inclusive at both ends."""
     probs = sorted({p for b in bands for p in b})
-    at = dict(zip(probs, df.agg(F.percentile(x, [p / 100 for p in probs])).first()[0]))
+    at = dict(zip(probs, quantiles(df, x, [p / 100 for p in probs]) or [None] * len(probs)))
     table = F.array(*(F.struct(F.lit(f"{a:g}-{b:g}").alias("band"), F.lit(at[a]).alias("lo"), F.lit(at[b]).alias("hi")) for a, b in bands))
     rows = attributed(df, x, cases, cb, coef, vcov, cen).withColumn("b", F.explode(F.filter(table, lambda t: (F.col(x) >= t.lo) & (F.col(x) <= t.hi))))
     return rows.groupBy(*by, F.col("b.band").alias("band")).agg(F.count("*").alias("n_rows"), F.sum("an").alias("an"), F.try_divide(F.sum("an"), F.sum(cases)).alias("af"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bases import BasisSpec
-from ..functions.lags import mklag, seqlag
+from ..functions.lags import mklag, quantiles, seqlag
 from .crossbasis import CrossBasis
 from .glm import check_model
 
@@ -115,8 +115,10 @@ def find_mmt(at: DataFrame, x: str, cb, coef, vcov, by: Sequence[str] = (), **kw
 
 
 def percentile_grid(df: DataFrame, x: str, lo: int = 1, hi: int = 99, by: Sequence[str] = ()) -> DataFrame:
-    """(by, pct, predvar): whole percentiles of x."""
+    """(by, pct, predvar): whole percentiles of x. Those of a group are taken in one buffer, a location's series."""
     pct = [i / 100 for i in range(lo, hi + 1)]
+    if not by:
+        return df.sparkSession.createDataFrame(list(zip(range(lo, hi + 1), quantiles(df, x, pct))), "pct int, predvar double")
     got = df.groupBy(*by).agg(F.percentile(x, pct).alias("q"))
     return got.select(*by, F.posexplode("q").alias("p", "predvar")).select(*by, (F.col("p") + lo).alias("pct"), "predvar")
 
@@ -137,7 +139,7 @@ def center_value(df: DataFrame, x: str, strategy: str | float, cb=None, coef=Non
     if strategy == "mean":
         return df.agg(F.avg(x)).first()[0]
     share = 0.5 if strategy == "median" else float(strategy.removeprefix("percentile_")) / 100
-    return df.agg(F.percentile(x, share)).first()[0]
+    return (quantiles(df, x, [share]) or [None])[0]
 
 
 def compare_centering(at: DataFrame, x: str, cb, coef, vcov, values: dict[str, float], **kw) -> DataFrame:

@@ -106,3 +106,18 @@ def test_interpolation_and_agreement(spark):
     d = spark.createDataFrame([(1.0, 1.0), (2.0, 2.5), (3.0, None)], "a double, b double")
     r = curves.agreement(d, "a", "b").first()
     assert (r.n, r.max_diff, r.mean_diff, r.n_close) == (2, 0.5, 0.25, 1)
+
+
+def test_quantiles_beyond_one_buffer(spark, monkeypatch):
+    """Brackets give the exact quantiles too: ties, a value that a third of all rows have, NULL, NaN and few rows."""
+    r = np.random.default_rng(7)
+    probs = [0.0, 0.025, 0.1, 1 / 3, 0.5, 0.75, 0.9, 1.0]
+    for values in (r.normal(0, 1, 5000), np.r_[np.full(1500, 2.5), r.integers(0, 900, 3000) / 10.0], np.array([3.0, 1.0, 2.0]), np.array([4.0])):
+        rows = [(float(v),) for v in values] + [(None,), (float("nan"),)]
+        df = spark.createDataFrame(rows, "x double").repartition(3)
+        whole = lags.quantiles(df, "x", probs)
+        with monkeypatch.context() as m:
+            m.setattr(lags, "HELD", 0 if len(values) < 10 else 60)
+            assert np.allclose(lags.quantiles(df, "x", probs), np.quantile(values, probs), rtol=1e-12, atol=1e-12)
+        assert np.allclose(whole, np.quantile(values, probs), rtol=1e-12, atol=1e-12)
+    assert lags.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == []
