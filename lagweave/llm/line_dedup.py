@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-RATIO, LEAST = 0.3, 5
+RATIO, LEAST = 0.1, 5
 #: Boilerplate lines (16 bytes each) up to which all hosts' arrays are broadcast, and the salts used beyond.
 BROADCAST_LINES, SALTS = 500_000, 32
 
