@@ -196,6 +196,7 @@ class Level:
 
     def shard(self, s: int) -> dict:
         if s not in self.open:
+            self.open.clear()  # queries go from shard to shard in order, so one is mapped at a time
             arrays, _ = open_arrays(f"{self.model.folder}/{self.order}-{s}")
             part = lambda name: EliasFano({k.split("_", 1)[1]: x for k, x in arrays.items() if k.startswith(name + "_")})
             self.open[s] = {k: part(k) for k in ("context", "pointer", "next")} | {"p": arrays["p"]}
@@ -414,7 +415,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         level1, level2, level3, size = Level1(model), Level(model, 2), Level(model, 3), U(model.size)
         for b in batches:
-            for i, j, all_, starts in tokens.blocks(b.column("raw"), model.block_bytes, START, END):
+            for i, j, all_, starts in tokens.blocks(b.column("raw"), model.block_bytes // 2, START, END):
                 x = Block(all_, starts, level1)
                 base = np.log10(model.base(np.where(x.hash == U(START), 0, x.count)))
                 v, w = x.code // x.n, x.code % x.n
