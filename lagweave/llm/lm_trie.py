@@ -37,7 +37,7 @@ from .tokens import hash_word
 
 MU, BASE, ORDER, CUTOFF = 8.0, 0.1, 3, 2
 #: Text bytes counted or scored at once, text bytes per shard, and a quantisation step's log10.
-BLOCK_BYTES, SHARD_BYTES, STEP = 8 << 20, 32 << 20, -12 / 65535
+BLOCK_BYTES, SHARD_BYTES, STEP = 4 << 20, 32 << 20, -12 / 65535
 #: Occurrences of a context that one shard takes; beyond, it is split.
 SPLIT = 1 << 17
 #: Hashes of the start context and the end token: blanks are in no word.
@@ -415,7 +415,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         level1, level2, level3, size = Level1(model), Level(model, 2), Level(model, 3), U(model.size)
         for b in batches:
-            for i, j, all_, starts in tokens.blocks(b.column("raw"), model.block_bytes // 2, START, END):
+            for i, j, all_, starts in tokens.blocks(b.column("raw"), model.block_bytes, START, END):
                 x = Block(all_, starts, level1)
                 base = np.log10(model.base(np.where(x.hash == U(START), 0, x.count)))
                 v, w = x.code // x.n, x.code % x.n
