@@ -6,10 +6,13 @@ Equal fingerprints meet first, so copies cost one row. Distances to reference fi
   distances to one reference add up to 3 or less are linked by the triangle inequality without a look at the pair,
   as a star around the reference, so a dense group costs a number of rows in proportion to its size. This finds
   every link of distance 1 or 2.
-* far references: PIVOTS random ones. What is left are links of distance 3, between fingerprints of odd and even
-  bit counts. Fingerprints meet where whole blocks agree (three differing bits leave all but three of the blocks
-  untouched); pairs whose distances to some pivot differ by more than 3 are discarded, and survivors are verified.
-  Pairs that the stars have already joined are left out, so dense groups are not spelled out here either.
+* bucket references: what is left are links of distance 3, between fingerprints of odd and even bit counts.
+  Fingerprints meet where whole blocks agree (three differing bits leave all but three of the blocks untouched).
+  Every such bucket has PIVOTS references among its own fingerprints, so distances to them spread as the bucket
+  does. Linked fingerprints differ by 1 or 3 in each coordinate: the first is a key of the join, so rings around the
+  reference that are too far apart never meet; the others discard pairs by the largest difference, and survivors are
+  verified. Buckets of more than HOT rows are split by blocks of their other bits, which loses no link. Pairs that
+  the stars have already joined are left out, so dense groups are not spelled out here either.
 
 Fewer than three words make one shingle of all of them; no words (or null text) give fingerprint zero, which is
 linked like any other. Repeated rows get equal results; a null doc_id takes part in its component but never names it.
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import materialize, with_row_id
 from .components import components
 
-SHINGLE, SEED, REACH, PIVOTS = 3, 42, 3, 24
+SHINGLE, SEED, REACH, PIVOTS = 3, 42, 3, 8
+#: Rows of a bucket beyond which it is split, and into how many blocks its other bits then fall.
+HOT, FINER = 2000, 6
 
 
 def fingerprint(raw: bytes | None, size: int = SHINGLE) -> int:
@@ -84,26 +89,51 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pivots(n: int = PIVOTS) -> list[int]:
-    """Reference fingerprints from a rule: hashes of their numbers."""
-    return [signed(xxhash.xxh64_intdigest(b"pivot %d" % i, SEED)) for i in range(n)]
+def finer(mask: int) -> list[int]:
+    """mask with all but REACH of FINER groups of its other bits; of three differing bits, one of these has none."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    groups = [sum(1 << b for b in free[i::FINER]) for i in range(FINER)]
+    return [mask | sum(c) for c in combinations(groups, FINER - REACH)]
+
+
+def masked(masks: list[int]):
+    return F.array(*(F.col("f").bitwiseAND(F.lit(signed(m))) for m in masks))
+
+
+def pivoted(labelled: DataFrame, count: int) -> DataFrame:
+    """Rows (k, j, v, f, star, is_main, d0, d1, ...): fingerprints by bucket, with distances to its references."""
+    masks = key_masks(count)
+    keys = labelled.select("f", "star", F.posexplode(masked(masks)).alias("k", "v"))
+    # The references: the least fingerprints in PIVOTS orders, each of f with some of its bits turned.
+    turns = [F.lit(signed(xxhash.xxh64_intdigest(b"order %d" % i, SEED))) for i in range(PIVOTS)]
+    least = [F.min(F.col("f").bitwiseXOR(t)).alias(f"r{i}") for i, t in enumerate(turns)]
+    by_star = keys.groupBy("k", "v", "star").agg(F.count("*").alias("n"), *least)
+    merged = [F.min(f"r{i}").bitwiseXOR(t).alias(f"r{i}") for i, t in enumerate(turns)]
+    found = by_star.groupBy("k", "v").agg(F.sum("n").alias("n"), F.max_by("star", F.struct("n", "star")).alias("main"), F.min("star").alias("lo"), F.max("star").alias("hi"), *merged)
+    mixed = materialize(found.where("lo != hi").drop("lo", "hi"), "mixed")
+    table = [F.bit_count(F.col("f").bitwiseXOR(F.col(f"r{i}"))).cast("byte").alias(f"d{i}") for i in range(PIVOTS)]
+    rows = keys.join(mixed, ["k", "v"]).select("k", "v", "n", "f", "star", (F.col("star") == F.col("main")).alias("is_main"), *table)
+    rest = ["f", "star", "is_main", *(f"d{i}" for i in range(PIVOTS))]
+    plain = rows.where(F.col("n") <= HOT).select("k", F.lit(-1).alias("j"), "v", *rest)
+    split = rows.where(F.col("n") > HOT).select("k", F.posexplode(F.get(F.array(*(masked(finer(m)) for m in masks)), F.col("k"))).alias("j", "v"), *rest)
+    return materialize(plain.union(split), "pivoted")
+
+
+def meetings(rows: DataFrame, with_pivots: bool = True) -> DataFrame:
+    """Pairs (a, b) of rows that are compared: of one bucket and different stars, as far as the references let them."""
+    x = rows.where("not is_main").withColumn("ring", F.explode(F.array(*(F.col("d0") + i for i in (-3, -1, 1, 3))))) if with_pivots else rows.where("not is_main").withColumn("ring", F.lit(0))
+    y = rows.withColumn("ring", F.col("d0") if with_pivots else F.lit(0))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("k", "j", "v", "ring")]
+    near = [F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= REACH for i in range(1, PIVOTS if with_pivots else 1)]
+    on = (F.col("x.star") != F.col("y.star")) & (F.bit_count("x.f") % 2 != F.bit_count("y.f") % 2)
+    for c in [*same, *near]:
+        on = on & c
+    return x.alias("x").join(y.alias("y"), on).select(F.col("x.f").alias("a"), F.col("y.f").alias("b"))
 
 
 def far_links(labelled: DataFrame, count: int) -> DataFrame:
     """Links of distance 3 between fingerprints (f) of different stars (star)."""
-    masks = key_masks(count)
-    keys = labelled.select("f", "star", F.posexplode(F.array(*(F.col("f").bitwiseAND(F.lit(signed(m))) for m in masks))).alias("k", "v"))
-    by_star = keys.groupBy("k", "v", "star").count()
-    mixed = materialize(by_star.groupBy("k", "v").agg(F.max_by("star", F.struct("count", "star")).alias("main"), F.min("star").alias("lo"), F.max("star").alias("hi")).where("lo != hi").select("k", "v", "main"), "mixed")
-    table = [F.bit_count(F.col("f").bitwiseXOR(F.lit(p))).cast("byte").alias(f"d{i}") for i, p in enumerate(pivots())]
-    rows = materialize(keys.join(mixed, ["k", "v"]).select("k", "v", "f", "star", (F.col("star") == F.col("main")).alias("is_main"), (F.bit_count("f") % 2).alias("odd"), *table), "pivoted")
-    x, y = rows.where("not is_main").alias("x"), rows.alias("y")
-    apart = [F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= REACH for i in range(PIVOTS)]
-    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("y.odd") == 1 - F.col("x.odd")) & (F.col("x.star") != F.col("y.star"))
-    for a in apart:
-        on = on & a
-    on = on & (F.bit_count(F.col("x.f").bitwiseXOR(F.col("y.f"))) <= REACH)
-    return x.join(y, on).select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).distinct()
+    return meetings(pivoted(labelled, count)).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -68,6 +68,32 @@ def test_links_and_dense_groups(spark, monkeypatch):
     assert sorted(key((x.doc_id, x.f, x.component_id)) for x in got) == sorted(key((d, simhash.signed(f), c)) for (d, f), c in zip(prints, groups(prints)))
 
 
+def test_split_buckets_keep_every_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 2)
+    test_links_and_dense_groups(spark, monkeypatch)
+
+
+def test_references_discard_pairs(spark):
+    """A crowded bucket: unlike fingerprints that agree in half their bits, and some links of distance 3."""
+    r = random.Random(8)
+    prints = []
+    for _ in range(300):
+        f = r.getrandbits(32) << 32
+        g = f
+        for b in r.sample(range(32, 64), 3):
+            g ^= 1 << b
+        prints += [f, g]
+    prints = sorted({simhash.signed(f) for f in prints})
+    labelled = spark.createDataFrame([(f, f) for f in prints], "f bigint, star bigint")
+    rows = simhash.pivoted(labelled, len(prints))
+    pairs = lambda w: {(min(x.a, x.b), max(x.a, x.b)) for x in simhash.meetings(rows, w).collect()}
+    some, all_ = pairs(True), pairs(False)
+    linked = {(a, b) for a in prints for b in prints if a < b and ((a ^ b) % (1 << 64)).bit_count() == 3}
+    assert linked <= some <= all_ and len(linked) >= 300
+    print(f"pairs met: {len(some)} of {len(all_)}")
+    assert len(some) < 0.1 * len(all_)
+
+
 def test_odd_rows(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 12
