@@ -26,7 +26,7 @@ def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
     import public_tokenizers
     from test_line_dedup import brute as brute_lines
-    from test_simhash import groups, plain
+    from test_similar import brute as brute_copies
     from test_winnow import brute as brute_hits
     from tokenizers import Tokenizer
 
@@ -36,9 +36,9 @@ def test_pipeline(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity.train(docs, toxicity.label_columns(labels))
     rows = [r for r in docs.join(toxicity.score(docs, chain).where("not toxic").select("doc_id"), "doc_id").collect()]
-    clean = brute_lines([(r.doc_id, r.source, r.text) for r in rows], line_dedup.RATIO, line_dedup.LEAST)
-    prints = [(d, plain(t)) for d, t, *_ in clean]
-    kept = [(d, t) for (d, t, *_), c in zip(clean, groups(prints)) if d == c]
+    clean = [(d, t) for d, t, *_ in brute_lines([(r.doc_id, r.source, r.text) for r in rows], p.SOURCE_RATIO, line_dedup.LEAST)]
+    stay = {*brute_copies(clean)}
+    kept = [(d, t) for d, t in clean if d in stay]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     left = [x for x, h in zip(kept, brute_hits(kept, items)) if not h[1]]
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
