@@ -7,7 +7,8 @@ the one of best F-score on out-of-fold predictions, with BETA for recall: clean
 Training takes at most MAX_TRAIN labelled documents, the first in an order by hash of doc_id, and FEATURES words,
 those whose presence tells the categories apart best in that sample; both bounds are parameters. Scoring reads all
 texts whole. Null texts are empty; rows with a null label are not trained on; without labels of both kinds a
-category's probability is its smoothed share. Repeated doc_ids in documents or labels are trained on once.
+category's probability is its smoothed share. A doc_id repeated in documents or labels is trained on once, with the
+text of least hash and the least labels, whatever the order of rows. Of extra columns, score() carries none.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM
 
-MAX_TRAIN, FEATURES, FOLDS, PENALTY, BETA = 12_000, 256, 5, 0.5, 0.5
+MAX_TRAIN, FEATURES, FOLDS, PENALTY, BETA = 12_000, 512, 5, 0.5, 0.7
 CATEGORIES = ("low_quality", "toxic")
 
 
@@ -124,16 +125,19 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
     """labels: doc_id, then a 0/1 column per category, in the order of the chain."""
     categories = tuple(c for c in labels.columns if c != "doc_id")
-    sample = labels.dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    least = labels.dropna().groupBy("doc_id").agg(F.min(F.struct(*categories)).alias("y")).select("doc_id", "y.*")
+    sample = least.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def run(batches):
         for b in batches:
             sets = [np.array(word_set(x), np.uint64).tobytes() for x in b.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(b.column(i) for i in range(1, b.num_columns))], names=["words", "fold", *categories])
 
-    part = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(sample), "doc_id")  # at most max_train rows
+    part = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(sample), "doc_id")  # at most max_train rows broadcast
+    once = F.min_by("raw", F.struct(F.xxhash64("raw").alias("h"), F.length("raw").alias("n"))).alias("raw")
+    part = part.groupBy("doc_id", *categories).agg(once)  # at most max_train rows
     part = part.select("raw", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), *(F.col(c).cast("double") for c in categories))
-    got = part.mapInArrow(run, "words binary, fold int, " + ", ".join(f"{c} double" for c in categories)).limit(2 * max_train).toArrow()
+    got = part.mapInArrow(run, "words binary, fold int, " + ", ".join(f"{c} double" for c in categories)).toArrow()
     sets = [np.frombuffer(x, np.uint64) for x in got["words"].to_pylist()]
     y = np.column_stack([got[c].to_numpy() for c in categories])
     return fit_chain(sets, y, got["fold"].to_numpy(), categories)
