@@ -51,6 +51,16 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has columns of these names."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """A row number for joins; stable only once the result is materialised, so materialise it."""
     return df.withColumn(name, F.monotonically_increasing_id())

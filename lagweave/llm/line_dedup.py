@@ -7,7 +7,8 @@ they travel as one array per host to its pages; texts are never shuffled unless
 and then hot hosts are spread by a salt.
 
 Null text stays null with no lines; a null host is a host of its own; blank lines are never counted or dropped.
-Repeated rows are pages of their own. Extra columns pass through, but columns named like the results are replaced.
+Repeated rows are pages of their own. Extra columns of any name and type pass through, but columns named like the
+results are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 RATIO, LEAST = 0.1, 5
 #: Boilerplate lines (16 bytes each) up to which all hosts' arrays are broadcast, and the salts used beyond.
@@ -65,22 +66,24 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST,
     found = materialize(boilerplate(slim, ratio, least), "boilerplate")
     n = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     site = F.coalesce(F.col(host), F.lit("\0"))
-    marked = pages.select(*rest, F.col(text).alias("__text"), F.struct(F.xxhash64(site).alias("a"), F.xxhash64(F.lit("@"), site).alias("b")).alias("__site"))
+    t, s, own, salt, keep = fresh(pages, "_text", "_site", "_set", "_salt", "_kept")
+    marked = pages.select(*(F.col(f"`{c}`") for c in rest), F.col(text).alias(t), F.struct(F.xxhash64(site).alias("a"), F.xxhash64(F.lit("@"), site).alias("b")).alias(s))
+    sets = found.select(F.col("site").alias(s), F.col("lines").alias(own))
     if n <= BROADCAST_LINES:
-        joined = marked.join(F.broadcast(found.select(F.col("site").alias("__site"), F.col("lines").alias("__set"))), "__site", "left")
+        joined = marked.join(F.broadcast(sets), s, "left")
     else:
-        spread = found.select(F.col("site").alias("__site"), F.col("lines").alias("__set"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-        joined = marked.withColumn("__salt", F.pmod(F.xxhash64("__text", *rest[:1]), F.lit(SALTS)).cast("int")).join(spread, ["__site", "__salt"], "left")
-    lines = F.split("__text", "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains("__set", print_of(trimmed(x))) | (trimmed(x) == ""))
+        spread = sets.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = marked.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(spread, [s, salt], "left")
+    lines = F.split(t, "\n", -1)
+    kept = F.filter(lines, lambda x: ~F.array_contains(own, print_of(trimmed(x))) | (trimmed(x) == ""))
     count = lambda a: F.size(F.filter(a, lambda x: trimmed(x) != "")).cast("long")
-    joined = joined.withColumn("__kept", F.when(F.col("__set").isNotNull() & F.col("__text").isNotNull(), kept))
-    had = F.when(F.col("__text").isNull(), F.lit(0).cast("long")).otherwise(count(lines))
+    joined = joined.withColumn(keep, F.when(F.col(own).isNotNull() & F.col(t).isNotNull(), kept))
+    had = F.when(F.col(t).isNull(), F.lit(0).cast("long")).otherwise(count(lines))
     return joined.select(
-        *rest,
-        F.when(F.col("__kept").isNull(), F.col("__text")).otherwise(F.array_join("__kept", "\n")).alias(text),
+        *(F.col(f"`{c}`") for c in rest),
+        F.when(F.col(keep).isNull(), F.col(t)).otherwise(F.array_join(keep, "\n")).alias(text),
         had.alias("n_lines"),
-        F.when(F.col("__kept").isNull(), F.lit(0).cast("long")).otherwise(count(lines) - count(F.col("__kept"))).alias("n_dropped"),
+        F.when(F.col(keep).isNull(), F.lit(0).cast("long")).otherwise(count(lines) - count(F.col(keep))).alias("n_dropped"),
     )
 
 

@@ -47,5 +47,15 @@ def test_pages(spark, sf_dir):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows, line_dedup.RATIO, line_dedup.LEAST)))
 
 
+def test_clashing_names_and_types(spark, monkeypatch):
+    rows = [(i, "h", f"menu\nown {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id bigint, host string, text string")
+    extra = df.select(F.create_map(F.lit("k"), F.col("page_id")).alias("m.x"), "*", *(F.lit(1).alias(c) for c in ("__set", "_set", "_set_", "_Site", "__text", "_text", "_salt", "_kept", "site", "lines")))
+    for most in (500_000, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        got = line_dedup.drop_boilerplate(extra)
+        assert set(extra.columns) <= set(got.columns) and {r.text for r in got.collect()} == {f"own {i}" for i in range(20)}
+
+
 def test_odd_rows(odd):
     assert line_dedup.drop_boilerplate(odd, host="source").count() == 12
