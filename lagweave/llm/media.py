@@ -5,16 +5,17 @@ Format "media_archive":
 * the writer gives each task its archives (8-bit mono WAV members, deflated), rolled over at `archive_bytes`; an
   archive counts only once the commit has listed it in the folder's index, so attempts of lost executors leave none
   behind;
-* the reader plans byte ranges over the archives' central directories. Entries of our archives have one length, so
-  ranges are cut by arithmetic from the index, and the driver opens no archive; a foreign ZIP, without index, is
-  one range;
+* the reader plans byte ranges over the archives' central directories, of about `partition_bytes` of stored members
+  each. Entries of our archives have one length, so ranges are cut by arithmetic from the index, and the driver opens
+  no archive; a foreign ZIP, without index, is one range (ZIP64 records are refused);
 * a task walks its range of directory entries and streams its members in Arrow batches of at most `batch_bytes`
   (or one member). Every member is read at its own offset, checked (local header, length, CRC) and tried again by
   itself from there; after `retries` tries the read fails, or with `on_error=null` gives the member without media.
 
 Samples are the UTF-8 bytes of a text, padded with 0 to a positive multiple of 64; the WAV `fact` chunk keeps the
 length before padding, so equal texts have equal members. Null text counts as empty; a null key is kept; repeated
-rows are members of their own. An empty table gives archives of no members. Extra columns are not carried.
+rows are members of their own. An empty table gives archives of no members. Members without media have null features.
+Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -38,11 +39,13 @@ from .files import located, make_dir
 
 UNIT, RATE = 64, 8000
 INDEX = "_index.json"
-#: Bytes: of directory per partition, of media per batch, of an archive; tries per member; deflate level.
-RANGE_BYTES, BATCH_BYTES, ARCHIVE_BYTES, RETRIES, LEVEL = 66 * 2000, 8 << 20, 256 << 20, 3, 4
+#: Bytes: of stored members per partition, of media per batch, of an archive; tries per member; deflate level.
+PARTITION_BYTES, BATCH_BYTES, ARCHIVE_BYTES, RETRIES, LEVEL = 64 << 20, 8 << 20, 256 << 20, 3, 4
 SCHEMA = "key long, archive string, offset long, media binary, error string"
 # ---- fixed values: the ZIP format's records ----------------------------------------------------------
 LOCAL, ENTRY, END = struct.Struct("<4s5H3I2H"), struct.Struct("<4s6H3I5H2I"), struct.Struct("<4s4H2IH")
+#: What 32-bit fields hold if the number is in a ZIP64 record.
+LARGE = 0xFFFFFFFF
 # ------------------------------------------------------------------------------------------------------
 
 
@@ -158,14 +161,16 @@ def directory(f, size: int) -> tuple[int, int]:
     at = raw.rfind(b"PK\5\6")
     if at < 0:
         raise ValueError("no ZIP end record")
-    _, _, _, _, _, length, start, _ = END.unpack_from(raw, at)
+    _, _, _, _, n, length, start, _ = END.unpack_from(raw, at)
+    if LARGE in (length, start) or (n == 0xFFFF and b"PK\6\7" in raw[:at]):
+        raise ValueError("a ZIP64 archive")
     return start, start + length
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, uri: str, options: dict):
         self.uri = uri
-        self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
+        self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.batch_bytes = int(options.get("batch_bytes", BATCH_BYTES))
         self.retries = int(options.get("retries", RETRIES))
         self.null_errors = options.get("on_error", "fail") == "null"
@@ -178,7 +183,7 @@ class ArchiveReader(DataSourceReader):
             out = []
             for a in listed:
                 entry = a["size"] // max(1, a["members"])
-                step = max(1, self.range_bytes // max(1, entry)) * entry
+                step = max(1, self.partition_bytes * a["members"] // max(1, a["start"])) * entry
                 out += [Range(a["name"], s, min(s + step, a["start"] + a["size"])) for s in range(a["start"], a["start"] + a["size"], step or 1)]
             return out or [Range("", 0, 0)]
         out = []
@@ -209,6 +214,8 @@ class ArchiveReader(DataSourceReader):
                 _, _, _, _, method, _, _, crc, packed, length, n, extra, comment, _, _, _, offset = ENTRY.unpack_from(raw, at)
                 name = raw[at + ENTRY.size : at + ENTRY.size + n]
                 at += ENTRY.size + n + extra + comment
+                if LARGE in (packed, length, offset):
+                    raise ValueError(f"{part.archive}: a ZIP64 archive")
                 media = error = None
                 for attempt in range(self.retries):
                     try:
@@ -245,7 +252,7 @@ def batch(rows) -> pa.RecordBatch:
 
 
 class MediaArchive(DataSource):
-    """Options: path (a URI); range_bytes, batch_bytes, retries, on_error for reading; archive_bytes for writing."""
+    """Options: path (a URI); partition_bytes, batch_bytes, retries, on_error for reading; archive_bytes for writing."""
 
     @classmethod
     def name(cls):
@@ -292,6 +299,9 @@ def features(media: DataFrame) -> DataFrame:
             rows = []
             for m in b.column("media"):
                 m = m.as_py()
+                if m is None:
+                    rows.append((None,) * 7)
+                    continue
                 payload, n = wav_samples(m)
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(np.frombuffer(payload, np.uint8))))
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -25,9 +25,28 @@ def round_trip(spark, df, **options):
 
 
 def test_documents(spark, documents):
-    _, got = round_trip(spark, documents, range_bytes="660", batch_bytes="20000")
+    _, got = round_trip(spark, documents, partition_bytes="9000", batch_bytes="20000")
     by = {}
     assert all(by.setdefault(r.payload_sha256, r.feature) == r.feature for r in got)
+    texts = {r.doc_id: (r.text or "").encode() for r in documents.collect()}
+    for r in got:
+        raw = texts[r.doc_id].ljust(r.payload_bytes, b"\0")
+        x = [b - 128 for b in raw]
+        cross = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r.feature == f"s={len(x) / 8000:.4f};mean={sum(x) / len(x):.6f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.6f};cross={cross};peak={max(map(abs, x))}"
+        if r.doc_id < 20:  # the stored form, by the standard library and the `fact` chunk
+            out = io.BytesIO()
+            with wave.open(out, "wb") as w:
+                w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000), w.writeframes(raw)
+            head, data = out.getvalue()[:36], out.getvalue()[36:]
+            whole = head[:4] + (len(out.getvalue()) + 12 - 8).to_bytes(4, "little") + head[8:] + b"fact\4\0\0\0" + r.n_bytes.to_bytes(4, "little") + data
+            assert (r.media_bytes, r.media_sha256) == (len(whole), hashlib.sha256(whole).hexdigest())
+
+
+def test_partitions_hold_bytes_not_members(documents):
+    path = media.store(documents.coalesce(1))
+    count = lambda n: len(media.ArchiveReader(path, {"partition_bytes": n}).partitions())
+    assert count(1 << 30) == 1 and 8 < count(20_000) < 80
 
 
 def test_odd_rows(spark, odd, none):
@@ -59,6 +78,8 @@ def test_foreign_archives_and_damage(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(raw)
     got = {r.key: r.error for r in media.load(spark, f"file://{tmp_path}", on_error="null").collect()}
     assert [k for k, e in got.items() if e] == [2]
+    shown = {r.doc_id: r for r in media.features(media.load(spark, f"file://{tmp_path}", on_error="null")).collect()}
+    assert shown[2].feature is None and shown[2].n_bytes is None and shown[3].feature
     with pytest.raises(Exception, match="damaged"):
         media.load(spark, f"file://{tmp_path}").collect()
 
