@@ -25,6 +25,9 @@ REMEMBER = 300_000
 NEVER = 1 << 60
 
 # ---- fixed values: the vocabulary file's own pre-tokeniser pattern -------------------------------
+NORMAL = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same, with room for the letters and numbers that the vocabulary's library knows.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^\s{L}{N}]+"
 #: Letters, numbers and lower-case pairs on which the Unicode tables of the vocabulary's library (16) differ from
 #: those of the installed regex module and of Python.
@@ -67,6 +70,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def check_steps(spec: dict) -> None:
+    """Raises unless the file asks for the steps that this module takes."""
+    steps = (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"] or {}])
+    if [s.get("type") for s in steps] != NORMAL:
+        raise ValueError(f"normalizer: {NORMAL} expected")
+    pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [p.get("type") for p in pre] != ["Split", "ByteLevel"] or pre[0]["pattern"].get("Regex") != SPLIT or pre[0]["behavior"] != "Removed" or not pre[0]["invert"] or pre[1]["add_prefix_space"]:
+        raise ValueError("pre-tokeniser: the words of this module's pattern, then bytes, expected")
+    model = spec["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+        raise ValueError("a plain BPE model with word ends is expected")
+
+
 class WordBpe:
     """A word-level BPE vocabulary (word ends marked) read from a tokenizers JSON file."""
 
@@ -74,6 +90,7 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        check_steps(spec)
         vocab, self.end = model["vocab"], model["end_of_word_suffix"] or ""
         self.tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -50,3 +50,19 @@ def test_long_words_merge_alike():
     for n in (2, 5, 40, 300):
         parts = [v.inner[r.choice(b"abetinos")] for _ in range(n)]
         assert v.merge(parts[:]) == v.merge_long(parts[:])
+
+
+def test_other_steps_are_refused():
+    import copy
+    import json
+
+    import public_tokenizers
+    import pytest
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    bpe.check_steps(spec)
+    for change in (lambda x: x["normalizer"]["normalizers"].pop(), lambda x: x["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="x"), lambda x: x["model"].update(byte_fallback=True), lambda x: x.update(pre_tokenizer=None), lambda x: x.update(normalizer=None)):
+        other = copy.deepcopy(spec)
+        change(other)
+        with pytest.raises(ValueError):
+            bpe.check_steps(other)
