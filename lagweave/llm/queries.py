@@ -91,19 +91,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
-TEMPLATES = ", ".join("({template}, '{label}', {base}, {k}, {q}, {runs}, '{run}')".format(**t) for t in license_scan.templates())
+TEMPLATES = ", ".join("({template}, '{label}', {base}, {k}, {q}, {words}, {enough}, '{run}')".format(**t) for t in license_scan.templates())
 
 LICENSE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
-t AS (SELECT * FROM (VALUES {TEMPLATES}) AS v(template, label, base, k, q, runs, run)),
+t AS (SELECT * FROM (VALUES {TEMPLATES}) AS v(template, label, base, k, q, words, enough, run)),
 g AS (SELECT r, k, pos - 1 AS p, array_to_string(w[pos : pos + k - 1], ' ') AS run FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)),
-v AS (SELECT r, template, label, base, runs, p - q AS diagonal, list(DISTINCT q) AS places FROM g JOIN t USING (k, run) GROUP BY ALL),
+v AS (SELECT r, template, label, base, words, enough, p - q AS diagonal, count(*) AS n, list(DISTINCT range(q, q + k)) AS places FROM g JOIN t USING (k, run) GROUP BY ALL),
 a AS (SELECT *, base OR coalesce(diagonal - lag(diagonal) OVER o > {license_scan.NEAR}, true) AS fresh FROM v WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
 s AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM a),
-m AS (SELECT r, label, base, min(diagonal) AS start, len(list_distinct(flatten(list(places)))) / runs AS cover FROM s GROUP BY r, template, label, base, runs, island),
+m AS (SELECT r, label, base, enough, arg_min(diagonal, (-n, diagonal)) AS start, len(list_distinct(flatten(flatten(list(places))))) / words AS cover FROM s GROUP BY r, template, label, base, words, enough, island),
 f AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
-    array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(cover) AS score
-    FROM m WHERE cover >= {license_scan.COVER} GROUP BY r)
+    array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label) FILTER (cover >= enough))), ',') AS labels, max(cover) AS score
+    FROM m GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
     coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN f USING (r)
 """
