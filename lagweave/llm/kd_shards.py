@@ -18,7 +18,7 @@ get slots of their own; an empty table gives an empty result. Extra columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, with_row_id
@@ -36,6 +36,16 @@ DEALT = 2000
 ORDERED = 6
 
 
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as an inline one."""
+    names = [x.split(" ") for x in schema.split(", ")]
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(t).alias(n) for n, t in names))
+    listed = ", ".join("(" + ", ".join(map(repr, r)) + ")" for r in rows)
+    got = spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(n for n, _ in names)})")
+    return got.select(*(F.col(n).cast(t).alias(n) for n, t in names))
+
+
 def slim(docs: DataFrame) -> DataFrame:
     text, name = F.coalesce("text", F.lit("")), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return docs.select(
@@ -105,16 +115,16 @@ def cuts(at: DataFrame, counts: DataFrame) -> DataFrame:
     picked = first_reaching(around.join(widest, ["node", "dim"]), "step", F.col("total") * half / F.col("count") / whole)
     schema = "node int, count int, dim int, step int, want double"
     rows = [(r.node, r.count_, r.dim, r.step, r.want - r.below) for r in picked.withColumnRenamed("count", "count_").collect()]  # a row per node
-    chosen = F.broadcast(spark.createDataFrame(rows, schema))
+    chosen = F.broadcast(values(spark, rows, schema))
     inside = held.select("node", "weight", "u", "d").join(chosen, "node").where(F.get("d", F.col("dim")) == F.col("step"))
     found = []
     for size, near in ((GRID, None), (1, "top")):
         if near:
-            inside = inside.drop("want").join(F.broadcast(spark.createDataFrame([(r.node, r.bin, r.want - r.below) for r in found], "node int, top int, want double")), "node").where((F.col("u") / GRID).cast("int") == F.col("top"))
+            inside = inside.drop("want").join(F.broadcast(values(spark, [(r.node, r.bin, r.want - r.below) for r in found], "node int, top int, want double")), "node").where((F.col("u") / GRID).cast("int") == F.col("top"))
         bins = inside.groupBy("node", "count", "dim", "step", "want", (F.col("u") / size).cast("int").alias("bin")).agg(F.sum("weight").alias("weight"))
         found = first_reaching(bins, "bin", F.col("want") / whole).collect()  # a row per node
     out = [(r.node, r.dim, r.step, r.bin + (2 * (r.want - r.below) >= r.weight), r.node + r["count"] // 2) for r in found]
-    return spark.createDataFrame(out, "node int, dim int, step int, top int, right int")
+    return values(spark, out, "node int, dim int, step int, top int, right int")
 
 
 def descend(at: DataFrame, level: DataFrame) -> DataFrame:
@@ -129,7 +139,7 @@ def grow(found: DataFrame, shards: int) -> DataFrame:
     """found (units) with node, the shard of the leaf that each falls into."""
     spark, at, nodes = found.sparkSession, found.withColumn("node", F.lit(0)), {0: shards}
     while any(n > 1 for n in nodes.values()):
-        counts = spark.createDataFrame([(k, n) for k, n in nodes.items() if n > 1], "node int, count int")
+        counts = values(spark, [(k, n) for k, n in nodes.items() if n > 1], "node int, count int")
         at = descend(at, cuts(at, counts))
         nodes = {m: c for k, n in nodes.items() for m, c in (((k, n // 2), (k + n // 2, n - n // 2)) if n > 1 else ((k, n),))}
     return at
