@@ -37,7 +37,7 @@ from .tokens import hash_word
 
 MU, BASE, ORDER, CUTOFF = 8.0, 0.1, 3, 2
 #: Text bytes counted or scored at once, text bytes per shard, and a quantisation step's log10.
-BLOCK_BYTES, SHARD_BYTES, STEP = 4 << 20, 32 << 20, -12 / 65535
+BLOCK_BYTES, SHARD_BYTES, STEP = 4 << 20, 16 << 20, -12 / 65535
 #: Occurrences of a context that one shard takes; beyond, it is split.
 SPLIT = 1 << 17
 #: Hashes of the start context and the end token: blanks are in no word.
@@ -125,11 +125,12 @@ def pack(columns: list[np.ndarray]) -> bytes:
     return np.array(head, "<u8").tobytes() + b"".join(planes(c, s) for c, s in zip(columns, head[2::2]))
 
 
-def unpack(raw: bytes) -> list[np.ndarray]:
+def unpack(raw: bytes, first: int | None = None) -> list[np.ndarray]:
+    """All columns, or the first ones."""
     k = int(np.frombuffer(raw, "<u8", 1)[0])
     head = np.frombuffer(raw, "<u8", 2 * k, 8).tolist()
     at, out = 8 + 16 * k, []
-    for n, size in zip(head[::2], head[1::2]):
+    for n, size in list(zip(head[::2], head[1::2]))[:first]:
         out.append(unplanes(raw, n, size, at))
         at += n * size
     return out
@@ -143,10 +144,14 @@ def pack_grams(context: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
 
 def merged_grams(raws: list[bytes], size: int):
     """Distinct (context, w) in order and sums of n, of packed tables; size: more than any w."""
-    parts = [unpack(r) for r in raws]
-    context, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    key = np.repeat(place.astype(U), np.concatenate([p[1] for p in parts]).astype(np.int64)) * U(size) + np.concatenate([p[2] for p in parts])
-    key, n = counted(key, np.concatenate([p[3] for p in parts]).astype(np.int64))
+    context = np.unique(np.concatenate([unpack(r, 1)[0] for r in raws]))
+    keys, times = [], []
+    for r in raws:
+        before, length, w, n = unpack(r)
+        keys.append(np.repeat(np.searchsorted(context, before).astype(U), length.astype(np.int64)) * U(size) + w)
+        times.append(n.astype(np.uint32))
+    keys = np.concatenate(keys)
+    key, n = counted(keys, np.concatenate(times).astype(np.int64))
     return context[(key // U(size)).astype(np.int64)], key % U(size), n
 
 
