@@ -95,6 +95,7 @@ class BasisSpec:
     def _b_spline(self, x, m):
         """Clamped B-splines by the recursion of de Boor; beyond the bounds they go on along the boundary tangent."""
         lo, hi = self.bounds
+        hi = hi if hi > lo else lo + 1.0  # of a constant
         p = self.degree
         t = [lo] * (p + 1) + list(self.knots) + [hi] * (p + 1)
         u = m.clip(x, lo, hi)

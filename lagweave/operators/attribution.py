@@ -58,7 +58,8 @@ def attr_heat_cold(df: DataFrame, x: str, cases: str, cb, coef, vcov, cen: float
     return rows.groupBy(*by).agg(part(cold, "an_cold"), part(heat, "an_heat"), part(cold | heat, "an_total"), F.sum(cases).alias("cases"))
 
 
-BANDS = ((0, 2.5), (2.5, 25), (25, 50), (50, 75), (75, 97.5), (97.5, 100))
+#: The tails, by default; what lies between the 10th and the 90th percentile is in no band.
+BANDS = ((0, 1), (1, 5), (5, 10), (90, 95), (95, 99), (99, 100))
 
 
 def attr_by_percentiles(df: DataFrame, x: str, cases: str, cb, coef, vcov, cen: float, bands=BANDS, by: Sequence[str] = ()) -> DataFrame:

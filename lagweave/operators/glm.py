@@ -120,12 +120,12 @@ def variance(family: str, mu: np.ndarray) -> np.ndarray:
 def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A solution even of a rank-deficient system, scaled for conditioning."""
     s = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
-    return s * np.linalg.lstsq(a * s[:, None] * s, s * b, rcond=1e-11)[0]
+    return s * np.linalg.lstsq(a * s[:, None] * s, s * b, rcond=1e-13)[0]
 
 
 def invert(a: np.ndarray) -> np.ndarray:
     s = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
-    return np.linalg.pinv(a * s[:, None] * s, rcond=1e-11, hermitian=True) * s[:, None] * s
+    return np.linalg.pinv(a * s[:, None] * s, rcond=1e-13, hermitian=True) * s[:, None] * s
 
 
 def fit_glm(df: DataFrame, y: str, names: Sequence[str], family: str = "poisson", offset: str | None = None, max_iter: int = 30, tol: float = 1e-9, ridge: float = 0.0) -> FitResult:
@@ -144,7 +144,7 @@ def fit_glm(df: DataFrame, y: str, names: Sequence[str], family: str = "poisson"
         def step(m):
             xs, ys, o = m[:, :p], m[:, p], m[:, p + 1]
             z, w, _, d = working(family, ys, None if now is None else xs @ now + o)
-            return xs, z - o if now is not None else z - o, w, d
+            return xs, z - o, w, d
 
         a, b, n, _, d = _pass(x, p, step)
         beta = solve(a + n * shrunk, b)
@@ -177,12 +177,17 @@ def irls(x: np.ndarray, y: np.ndarray, family: str, offset: np.ndarray | None =
         dev = d.sum()
         beta = solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ (z - o))
     a = (x * w[:, None]).T @ x
-    phi = float(((y - mu) ** 2 / variance(family, mu)).sum() / max(1, len(y) - x.shape[1])) if family in ("gaussian", "quasipoisson", "gamma") else 1.0
+    s = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
+    free = len(y) - int(np.linalg.matrix_rank(a * np.outer(s, s)))
+    phi = float(((y - mu) ** 2 / variance(family, mu)).sum() / max(1, free)) if family in ("gaussian", "quasipoisson", "gamma") else 1.0
     return beta, phi * invert(a), phi, ok
 
 
-def fit_by(df: DataFrame, by: str, y: str, names: Sequence[str], family: str = "quasipoisson") -> DataFrame:
-    """(by, coef, vcov, dispersion, n, converged): a model per location; arrays in the order (intercept), names."""
+def fit_by(df: DataFrame, by: str, y: str, names: Sequence[str], family: str = "quasipoisson", form: np.ndarray | None = None) -> DataFrame:
+    """(by, coef, vcov, dispersion, n, converged): a model per location; arrays in the order (intercept), names.
+
+    form: a matrix by which coefficients are multiplied, so that only what is asked for leaves the task.
+    """
     kind = df.schema[by].dataType.simpleString()
 
     def run(pdf):
@@ -191,6 +196,8 @@ def fit_by(df: DataFrame, by: str, y: str, names: Sequence[str], family: str = "
         m = pdf[[*names, y]].dropna().to_numpy(float)
         x = np.column_stack([np.ones(len(m)), m[:, :-1]])
         beta, v, phi, ok = irls(x, m[:, -1], family) if len(m) > x.shape[1] else (np.full(x.shape[1], np.nan), np.full((x.shape[1],) * 2, np.nan), np.nan, False)
+        if form is not None:
+            beta, v = form @ beta, form @ v @ form.T
         return pd.DataFrame({by: [pdf[by].iloc[0]], "coef": [beta.tolist()], "vcov": [v.ravel().tolist()], "dispersion": [phi], "n": [len(m)], "converged": [ok]})
 
     return df.select(by, y, *names).groupBy(by).applyInPandas(run, f"{by} {kind}, coef array<double>, vcov array<double>, dispersion double, n long, converged boolean")

@@ -5,6 +5,7 @@ A location gives q coefficients and a q x q covariance, so k locations are k sma
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.bases import BasisSpec
 from .crossbasis import CrossBasis
 from .glm import fit_by
-from .predict import crossreduce, percentile_grid
+from .dlnm import reduction
+from .predict import percentile_grid
 
 
 @dataclass
@@ -153,32 +155,43 @@ def meta_inputs(reduced: DataFrame, predictors: list[str]) -> tuple:
     return rows, np.array([r.coef for r in rows]), np.array([r.vcov for r in rows]).reshape(-1, q, q), np.array([[1.0, *(getattr(r, p) for p in predictors)] for r in rows])
 
 
-def multi_location(w: DataFrame, by: str, x: str, y: str, cb: CrossBasis, covariates: list[str], method: str = "reml", family: str = "quasipoisson") -> DataFrame:
-    """(by, coef, blup, shrinkage, mmt, pct): fits per location, reduces, pools on mean and range of x, shrinks.
+def multi_location(w: DataFrame, by: str, x: str, y: str, cb: CrossBasis, covariates: list[str], method: str = "reml", family: str = "quasipoisson", predictors: Sequence[str] = ("avg", "range")) -> DataFrame:
+    """(by, converged, coef, blup, shrinkage, mmt, pct): fits per location, reduces, pools, shrinks.
 
-    w: the series with cb's columns and covariates; at least two locations that fit.
+    w: the series with cb's columns and covariates. predictors: of the pooled model besides a constant, of the mean
+    (avg) and range of x in a location; more locations than these need to have converged. Locations that have not
+    are returned too, with converged false and nothing else.
     """
-    spark, q = w.sparkSession, cb.var.size
-    fits = fit_by(w, by, y, [*cb.names, *covariates], family).join(w.groupBy(by).agg(F.avg(x).alias("_avg"), (F.max(x) - F.min(x)).alias("_range")), by).where("converged")
-    rows, p = fits.orderBy(by).collect(), cb.shape[0] * cb.shape[1]
-    if len(rows) < 2:
+    spark, unknown = w.sparkSession, {*predictors} - {"avg", "range"}
+    if unknown:
+        raise ValueError(f"predictors: avg, range; not {sorted(unknown)}")
+    about = w.groupBy(by).agg(F.avg(x).alias("_avg"), (F.max(x) - F.min(x)).alias("_range"))
+    fits = fit_by(w, by, y, [*cb.names, *covariates], family, form=reduction(cb, len(covariates))).join(about, by)
+    rows = fits.orderBy(by).collect()  # q coefficients and q x q covariances of a location
+    good = [r for r in rows if r.converged]
+    if len(good) < 2:
         raise ValueError("at least two locations are pooled")
-    reduced = []
-    for r in rows:
-        n = int(np.sqrt(len(r.vcov)))
-        reduced.append(crossreduce(cb, np.array(r.coef)[1 : 1 + p], np.array(r.vcov).reshape(n, n)[1 : 1 + p, 1 : 1 + p]))
-    ys, ss = np.array([c for c, _ in reduced]), np.array([v for _, v in reduced])
-    meta = np.array([[r._avg, r._range] for r in rows])
-    few = len(rows) < 5
-    fit = mvmeta(ys, ss, None if few else np.column_stack([np.ones(len(rows)), (meta - meta.mean(0)) / np.maximum(meta.std(0), 1e-9)]), method)
+    q = cb.var.size
+    ys, ss = np.array([r.coef for r in good]), np.array([r.vcov for r in good]).reshape(-1, q, q)
+    meta = np.array([[1.0, *(r[f"_{p}"] for p in predictors)] for r in good])
+    meta[:, 1:] = (meta[:, 1:] - meta[:, 1:].mean(0)) / np.maximum(meta[:, 1:].std(0), 1e-9)
+    if len(good) <= meta.shape[1] or np.linalg.matrix_rank(meta) < meta.shape[1]:
+        raise ValueError(f"{len(good)} locations do not tell the effects of {len(predictors)} predictors apart")
+    fit = mvmeta(ys, ss, meta, method)
     shrunk, _ = blup(fit, ys, ss)
-    made = spark.createDataFrame([(r[by], c.tolist(), b.tolist(), float(np.linalg.norm(b - c))) for r, c, b in zip(rows, ys, shrunk)], f"{by} {w.schema[by].dataType.simpleString()}, coef array<double>, blup array<double>, shrinkage double")
-    return made.join(location_mmt(w, by, x, cb.var, made.select(by, "blup")), by)
+    made = spark.createDataFrame([(r[by], c.tolist(), b.tolist(), float(np.linalg.norm(b - c))) for r, c, b in zip(good, ys, shrunk)], f"{by} {w.schema[by].dataType.simpleString()}, coef array<double>, blup array<double>, shrinkage double")
+    found = made.join(location_mmt(w, by, x, cb.var, made.select(by, "blup")), by)
+    return fits.select(by, "converged").join(found, by, "left")
+
+
+def location_summary(found: DataFrame) -> DataFrame:
+    """One row about multi_location's result: locations, those that converged, shrinkage, and the pooled optimum."""
+    return found.agg(F.count("*").alias("n"), F.count_if("converged").alias("n_converged"), F.avg("shrinkage").alias("mean_shrinkage"), F.median("mmt").alias("median_mmt"), F.avg("mmt").alias("mean_mmt"), F.stddev_pop("mmt").alias("sd_mmt"))
 
 
 def location_mmt(df: DataFrame, by: str, x: str, spec: BasisSpec, coefs: DataFrame) -> DataFrame:
     """(by, mmt, pct) from each location's own percentiles and coefficients (column blup)."""
-    at = percentile_grid(df, x, by=[by]).join(F.broadcast(coefs), by)  # a row per location
+    at = percentile_grid(df, x, by=[by]).join(coefs, by)
     r = F.array(*spec.columns(F.col("predvar")))
     fit = F.aggregate(F.zip_with(r, F.col("blup"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     best_ = F.struct("fit", "pct")

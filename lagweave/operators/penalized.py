@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crossbasis import CrossBasis
-from .glm import FitResult, fit_glm, gram, invert
+from .glm import LINKS, FitResult, _pass, invert, working
 
 
 def penalty(n: int, kind: str = "difference", order: int = 2) -> np.ndarray:
@@ -84,38 +84,44 @@ def criterion(g, c, yy, n, pen, kind: str) -> tuple[float, np.ndarray, float, fl
     return value, beta, edf, rss
 
 
-def fit_penalised(df: DataFrame, y: str, cb: CrossBasis, extra: Sequence[str] = (), *, method: str = "gcv", lam: tuple[float, float] | None = None, kind: str = "difference", order: int = 2, family: str = "gaussian", rounds: int = 8) -> Penalised:
+def fit_penalised(df: DataFrame, y: str, cb: CrossBasis, extra: Sequence[str] = (), *, method: str = "gcv", lam: tuple[float, float] | None = None, kind: str = "difference", order: int = 2, family: str = "gaussian", rounds: int = 50) -> Penalised:
     """Penalised fit of y on 1, cb's columns and extra, on complete rows; lam None: chosen by method.
 
-    Other families than the Gaussian take penalised reweighted rounds around the unpenalised fit.
+    Other families than the Gaussian take penalised reweighted rounds; the criterion is that of the last round's
+    working values. The vcov is phi A^-1 G A^-1, where phi is 1 for Poisson and binomial models.
     """
     names = ["(intercept)", *cb.names, *extra]
-    x = df.select(F.lit(1.0).alias("(intercept)"), *(F.col(k).cast("double").alias(k) for k in names[1:]), F.col(y).cast("double").alias("_y")).na.drop()
-    fit, z, w = None, "_y", None
-    for _ in range(rounds if family != "gaussian" else 1):
-        data = x
-        if family != "gaussian":
-            fit = fit or fit_glm(x, "_y", names[1:], family)
-            mu = fit.predict(x, "_mu")
-            data = mu.withColumn("_z", F.log("_mu") + (F.col("_y") - F.col("_mu")) / F.col("_mu"))
-            z, w = "_z", "_mu"
-        g, c, n, yy = gram(data, names, z, w)
-        p = cb.shape[0] * cb.shape[1]
-
-        def whole(l1, l2):
-            out = np.zeros((len(names),) * 2)
-            out[1 : 1 + p, 1 : 1 + p] = combined(cb, l1, l2, kind, order)
-            return out
+    x = df.select(F.lit(1.0).alias("(intercept)"), *(F.col(k).cast("double").alias(k) for k in names[1:]), F.col(y).cast("double").alias("_y")).na.drop().cache()
+    k, p, beta, converged = len(names), cb.shape[0] * cb.shape[1], None, False
 
+    def whole(l1, l2):
+        out = np.zeros((k, k))
+        out[1 : 1 + p, 1 : 1 + p] = combined(cb, l1, l2, kind, order)
+        return out
+
+    for _ in range(rounds):
+        now = beta
+
+        def step(m):
+            z, w, _, d = working(family, m[:, k], None if now is None else m[:, :k] @ now)
+            return m[:, :k], z, w, d
+
+        g, c, n, yy, dev = _pass(x, k, step)
         got = lam
         if got is None:
             got = tuple(np.exp(nelder_mead(lambda u: criterion(g, c, yy, n, whole(*np.exp(np.clip(u, -12, 16))), method)[0], np.zeros(2))))
         value, beta, edf, rss = criterion(g, c, yy, n, whole(*got), method)
-        inv = invert(g + whole(*got))
-        phi = rss / max(n - edf, 1e-9) if family != "poisson" else 1.0
-        new = FitResult(names, beta, phi * inv @ g @ inv, family, "identity" if family == "gaussian" else "log", phi, rss, n, int(n - edf))
-        done = fit is not None and np.abs(new.coef - fit.coef).max() < 1e-8
-        fit = new
-        if done:
+        if family == "gaussian" or (now is not None and np.abs(beta - now).max() < 1e-9 * (1 + np.abs(beta).max())):
+            converged = True
             break
+    x.unpersist()
+    inv = invert(g + whole(*got))
+    phi = rss / max(n - edf, 1e-9) if family not in ("poisson", "binomial") else 1.0
+    fit = FitResult(names, beta, phi * inv @ g @ inv, family, LINKS.get(family, "log"), phi, rss if family == "gaussian" else dev, n, int(n - edf), converged)
     return Penalised(fit, got, edf, value, rss)
+
+
+def penalised_dlnm(df: DataFrame, x: str, y: str, t: str, lag, argvar: dict | None = None, arglag: dict | None = None, **kw) -> tuple[CrossBasis, Penalised]:
+    """The cross-basis of x and its penalised fit in one call."""
+    cb = CrossBasis.fit(df, x, lag, argvar, arglag)
+    return cb, fit_penalised(cb.series(df, x, t).join(df.select(t, y), t), y, cb, **kw)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases, lags
-from ..operators import attribution, glm, meta, penalized, predict, seasonality
+from ..operators import attribution, dlnm, glm, meta, penalized, predict, seasonality
 from ..operators.crossbasis import CrossBasis
 from . import series
 
@@ -89,8 +89,9 @@ def lag_matrix(spark, sf_dir):
 
 @query(f"WITH {SHIP} SELECT unnest(['ns', 'ns', 'ns', 'bs']) AS fun, unnest([round(v + 1e-09, 6) + 0.0 for v in quantile_cont(x, [0.25, 0.5, 0.75, 0.5])]) AS knot FROM s")
 def knots_quantile(spark, sf_dir):
-    s = series.ship_daily(spark, sf_dir)
+    s = series.ship_daily(spark, sf_dir).cache()
     rows = [("ns", k) for k in lags.equalknots(s, "x", "ns", 4)] + [("bs", k) for k in lags.equalknots(s, "x", "bs", 5)]
+    s.unpersist()
     return rounded(spark.createDataFrame(rows, "fun string, knot double"))
 
 
@@ -223,11 +224,12 @@ def crossbasis_group(spark, sf_dir):
 
 
 @query(
-    "SELECT vec_id, " + q6(" + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(8))) + " AS v1_l1, " + q6(" + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) * {k} / 7" for k in range(8))) + " AS v1_l2 FROM embeddings"
+    "SELECT vec_id, " + q6(" + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(64))) + " AS v1_l1, " + q6(" + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) * {k / 63!r}" for k in range(64))) + " AS v1_l2 FROM embeddings"
 )
 def crossbasis_matrix(spark, sf_dir):
-    m = series.table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
-    cb = CrossBasis(bases.BasisSpec("lin"), bases.lag_basis(7, "poly", degree=1), (0, 7))
+    """Every embedding as a history of 64 lags."""
+    m = series.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    cb = CrossBasis(bases.BasisSpec("lin"), bases.lag_basis(63, "poly", degree=1), (0, 63))
     return rounded(cb.matrix(m, "x").drop("x"))
 
 
@@ -584,25 +586,45 @@ def curve_agreement(spark, sf_dir):
     return rounded(agreement(series.region_daily(spark, sf_dir).withColumn("m", F.avg("x").over(w)), "x", "m", ["r_name"], close=5.0))
 
 
-# -- whole models, tested in tests/ against numpy ------------------------------------------------------------
-def flagship_design(spark, sf_dir):
+@query(f"WITH {SHIP} SELECT CAST(i AS DOUBLE) / 20 AS share, {q6('lo + i * (hi - lo) / 20')} AS predvar FROM (SELECT min(x) AS lo, max(x) AS hi FROM s), (SELECT unnest(range(0, 21)) AS i)")
+def predict_grid(spark, sf_dir):
+    """The default grid of predictions: twenty steps over the exposure's range."""
+    lo, hi = series.ship_daily(spark, sf_dir).agg(F.min("x"), F.max("x")).first()
+    g = predict.grid(spark, lo, hi).withColumn("share", F.round((F.col("predvar") - lo) / (hi - lo), 2))
+    return rounded(g.select("share", "predvar"))
+
+
+@query(f"WITH {SHIP}, b AS (SELECT regr_slope(y, x) AS m, regr_intercept(y, x) AS a FROM s) SELECT t, {q6('a + m * x')} AS fitted FROM s, b")
+def glm_predict(spark, sf_dir):
+    s = series.ship_daily(spark, sf_dir)
+    return rounded(glm.fit_glm(s, "y", ["x"], "gaussian").predict(s).select("t", "fitted"))
+
+
+@query(f"WITH {SHIP} SELECT CAST(k AS BIGINT) AS lag, CAST(count(x) AS BIGINT) AS n FROM (SELECT unnest(range(0, max(t) - min(t) + 1, 365)) AS k, min(t) AS lo FROM s) LEFT JOIN s ON s.t = lo + k GROUP BY 1")
+def seqlag_years(spark, sf_dir):
+    """A lag sequence by years over the series' length, and whether there is an exposure at each."""
     s = series.ship_daily(spark, sf_dir)
+    lo, hi = s.agg(F.min("t"), F.max("t")).first()
+    at = spark.createDataFrame([(k,) for k in lags.seqlag((0, hi - lo), 365)], "lag long")
+    return at.join(s, F.col("t") == F.col("lag") + lo, "left").groupBy("lag").agg(F.count("x").alias("n"))
+
+
+# -- whole models, tested in tests/ against numpy ------------------------------------------------------------
+def flagship_fit(spark, sf_dir):
+    """The daily series, kept by the caller's choice, and its model."""
+    s = series.ship_daily(spark, sf_dir).cache()
     cb = CrossBasis.fit(s, "x", 21, {"fun": "bs", "degree": 2, "knots": lags.quantiles(s, "x", [0.1, 0.75, 0.9])}, {"fun": "ns"})
-    days, dow = glm.dow_dummies(s, "d")
-    trend = bases.fit_basis(s, "t", "ns", df_=8)
-    full = bases.basis_columns(days.withColumn("tt", F.col("t").cast("double")), "tt", trend, "s").join(cb.series(s, "x", "t"), "t")
-    return s, cb, full, [*dow, *trend.names("s")]
+    return s, dlnm.fit_dlnm(s, cb, "x", "y", "t", date="d", dfseas=8, dow=True)
 
 
 @query()
 def flagship_effects(spark, sf_dir):
-    """y ~ cross-basis + day of week + smooth trend, quasi-Poisson; overall risk at the percentiles of the exposure."""
-    s, cb, full, more = flagship_design(spark, sf_dir)
-    full = full.cache()
-    fit = glm.fit_glm(full, "y", [*cb.names, *more], "quasipoisson")
-    full.unpersist()
-    coef, vcov = predict.crossreduce(cb, *fit.part(cb.names))
-    return rounded(predict.crosspred(predict.percentile_grid(s, "x"), "predvar", cb.var, coef, vcov, cen=predict.center_value(s, "x", "median")))
+    """y ~ cross-basis + day of the week + spline of the date with 8 df a year, quasi-Poisson; overall risk at the
+    percentiles of the exposure."""
+    s, m = flagship_fit(spark, sf_dir)
+    at, cen = predict.percentile_grid(s, "x"), predict.center_value(s, "x", "median")
+    s.unpersist()
+    return rounded(predict.crosspred(at, "predvar", m.cb.var, m.coef, m.vcov, cen=cen))
 
 
 def region_design(spark, sf_dir):
@@ -623,7 +645,7 @@ def fit_by_region(spark, sf_dir):
 @query()
 def reml_meta(spark, sf_dir):
     cb, w = region_design(spark, sf_dir)
-    return rounded(meta.multi_location(w, "r_name", "x", "y", cb, []).select("r_name", "shrinkage", "mmt", "pct"))
+    return rounded(meta.multi_location(w, "r_name", "x", "y", cb, []).select("r_name", "converged", "shrinkage", "mmt", "pct"))
 
 
 @query()

@@ -17,7 +17,7 @@ from ..functions.lags import mklag
 
 
 def histories(stream: DataFrame, by: str, t: str, x: str, lag, lateness: int = 30) -> DataFrame:
-    """(by, t, history): history[k] is x at t - (lo + k), NULL where unknown. Days older than lateness are dropped."""
+    """(by, t, history): history[k] is x at t - (lo + k), NULL where unknown. Days older than lateness, and rows without a day, are dropped."""
     lo, hi = mklag(lag)
     if lo < 0:
         raise ValueError("a stream has no leads")
@@ -29,6 +29,8 @@ def histories(stream: DataFrame, by: str, t: str, x: str, lag, lateness: int = 3
         newest = max(seen, default=None)
         for pdf in frames:
             for day, value in zip(pdf[t], pdf[x]):
+                if pd.isna(day):
+                    continue
                 day = int(day)
                 if newest is not None and day < newest - lateness:
                     continue

@@ -147,6 +147,12 @@ def test_attribution(spark, daily, model):
     lo, hi = np.percentile(x, [2.5, 97.5])
     assert math.isclose(hc.an_cold, an[x <= lo].sum(), abs_tol=1e-9) and math.isclose(hc.an_heat + hc.an_cold, hc.an_total, abs_tol=1e-9)
     bands = attribution.attr_by_percentiles(*a).collect()
+    edges = {p: np.quantile(x, p / 100) for b in attribution.BANDS for p in b}
+    for r in bands:
+        lo, hi = (edges[float(p)] for p in r.band.split("-"))
+        assert math.isclose(r.an, an[(x >= lo) & (x <= hi)].sum(), rel_tol=1e-6)
+    covering = ((0, 2.5), (2.5, 25), (25, 50), (50, 75), (75, 97.5), (97.5, 100))
+    bands = attribution.attr_by_percentiles(*a, bands=covering).collect()
     assert len(bands) == 6 and math.isclose(sum(r.an for r in bands), an.sum(), rel_tol=0.05, abs_tol=5)
     ci = attribution.simulated_interval(*a, nsim=400, seed=2).first()
     assert ci.an_low < an.sum() < ci.an_high and ci == attribution.simulated_interval(*a, nsim=400, seed=2).first()
@@ -200,6 +206,80 @@ def test_multi_location(spark):
         meta.multi_location(w.where("g = 'g0'"), "g", "x", "y", cb, [])
 
 
+def test_locations_that_do_not_converge_are_told(spark):
+    r = np.random.default_rng(2)
+    rows = [(f"g{g}", t, float(r.normal(15 + g + 0.3 * (g % 2) * t / 50, 4 + g % 3)), int(r.poisson(30))) for g in range(4) for t in range(200)]
+    rows += [("short", t, 10.0 + t, 5) for t in range(4)]
+    df = spark.createDataFrame(rows, "g string, t int, x double, y int")
+    cb = CrossBasis.fit(df, "x", 1, {"fun": "poly", "degree": 2}, {"fun": "poly", "degree": 1})
+    w = cb.series(df, "x", "t", ["g"]).join(df, ["g", "t"])
+    got = {x.g: x for x in meta.multi_location(w, "g", "x", "y", cb, []).collect()}
+    assert len(got) == 5 and not got["short"].converged and got["short"].blup is None and all(got[f"g{i}"].mmt for i in range(4))
+    assert meta.location_summary(spark.createDataFrame(list(got.values()), "g string, converged boolean, coef array<double>, blup array<double>, shrinkage double, mmt double, pct int")).first().n_converged == 4
+    few = w.where("g in ('g0', 'g1', 'short')")
+    with pytest.raises(ValueError, match="predictors"):
+        meta.multi_location(few, "g", "x", "y", cb, [])
+    assert meta.multi_location(few, "g", "x", "y", cb, [], predictors=()).count() == 3
+
+
+def test_flagship_by_numpy(spark):
+    """The whole model against dense iterations in numpy: 8 df a year, day of the week, lags up to 21."""
+    from lagweave.functions import bases
+    from lagweave.operators import dlnm
+    from lagweave.plans import catalogue
+
+    s, m = catalogue.flagship_fit(spark, "/root/testdata/sf0.01")
+    rows = s.orderBy("t").collect()
+    t, x, y = (np.array([np.nan if r[c] is None else r[c] for r in rows], float) for c in ("t", "x", "y"))
+    r, c = m.cb.var.numpy(x), m.cb.lags.numpy(np.arange(22))
+    w = np.full((len(x), r.shape[1] * c.shape[1]), np.nan)
+    for i in range(21, len(x)):
+        w[i] = (r[i - np.arange(22)].T @ c).ravel()
+    years = len({x.d.year for x in rows})
+    k = np.quantile(t, np.arange(1, 8 * years) / (8 * years))
+    spec = bases.BasisSpec("ns", knots=tuple(k), bounds=(t.min(), t.max()))
+    days = np.array([[float(q.d.weekday() == d) for d in range(1, 7)] for q in rows])
+    full = np.column_stack([np.ones(len(x)), w, days, spec.numpy(t)])
+    ok = ~np.isnan(full).any(1)
+    full, yy = full[ok], y[ok]
+    assert full.shape[1] == len(m.fit.names) == 1 + w.shape[1] + 6 + 8 * years
+    scale = np.abs(full).max(0)
+    eta = np.log(yy + 0.1)
+    for _ in range(40):
+        mu = np.exp(eta)
+        sw = np.sqrt(mu)
+        beta = np.linalg.lstsq(full / scale * sw[:, None], sw * (eta + (yy - mu) / mu), rcond=None)[0]
+        eta = full / scale @ beta
+    mu = np.exp(eta)
+    p = np.column_stack([np.ones(99), np.quantile(x[~np.isnan(x)], np.arange(1, 100) / 100)])[:, 1]
+    cen = np.median(x[~np.isnan(x)])
+    want = (m.cb.var.numpy(p) - m.cb.var.numpy([cen])) @ (np.kron(np.eye(r.shape[1]), c.sum(0)[None, :]) @ (beta / scale)[1 : 1 + w.shape[1]])
+    got = (m.cb.var.numpy(p) - m.cb.var.numpy([cen])) @ m.coef
+    assert np.allclose(got, want, atol=1e-6) and m.fit.converged
+    assert math.isclose(m.fit.dispersion, ((yy - mu) ** 2 / mu).sum() / (len(yy) - np.linalg.matrix_rank(full / scale)), rel_tol=1e-6)
+    by = dlnm.fit_dlnm(s.withColumn("g", F.lit("one")), m.cb, "x", "y", "t", date="d", dfseas=8, dow=True, by="g").first()
+    assert np.allclose(by.coef, m.coef, atol=1e-6) and by.converged
+    s.unpersist()
+
+
+def test_unpenalised_fits_equal_glms(spark, daily):
+    cb = CrossBasis.fit(daily, "x", 2, {"fun": "poly", "degree": 2}, {"fun": "poly", "degree": 1})
+    w = cb.series(daily, "x", "t").join(daily.select("t", "y"), "t").withColumn("b", (F.col("y") > 23).cast("int")).withColumn("p", F.col("y") + 0.5)
+    for family, y in (("gaussian", "y"), ("poisson", "y"), ("quasipoisson", "y"), ("gamma", "p"), ("binomial", "b")):
+        got, want = penalized.fit_penalised(w, y, cb, lam=(0.0, 0.0), family=family).fit, glm.fit_glm(w, y, cb.names, family, tol=1e-13)
+        assert got.link == want.link and got.converged and np.allclose(got.coef, want.coef, rtol=1e-4, atol=1e-6)
+        assert np.allclose(got.vcov, want.vcov, rtol=1e-3, atol=1e-9) and math.isclose(got.dispersion, want.dispersion, rel_tol=1e-4)
+
+
+def test_b_splines_of_a_constant(spark):
+    from lagweave.functions import bases
+
+    df = spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double")
+    spec = bases.fit_basis(df, "x", "bs", df_=5, intercept=True)
+    rows = [[*r][1:] for r in bases.basis_columns(df, "x", spec).where("x is not null").collect()]
+    assert np.allclose(np.sum(rows, 1), 1) and np.allclose(rows, spec.numpy([2.0, 2.0]))
+
+
 def test_seasonality(spark, daily):
     got = seasonality.decompose(daily, "x", "t", 1, 377.0).orderBy("t").collect()
     x, _ = arrays(daily)
