@@ -26,9 +26,14 @@ def at_points(curve: DataFrame, points: DataFrame, t: str, x: str, by: Sequence[
     return interpolate(known, t, x, by).where("_p").drop("_p")
 
 
-def agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = (), close: float = 0.05) -> DataFrame:
-    """Largest and mean absolute difference, root mean square, correlation, and how many rows differ by less than close."""
+def agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = (), close: float | Sequence[float] = 0.05) -> DataFrame:
+    """Largest and mean absolute difference, root mean square, correlation, and how many rows differ by less than close.
+
+    Several limits give n_close1, n_close2, ... in their order.
+    """
     d = F.abs(F.col(a) - F.col(b))
+    one = isinstance(close, (int, float))
+    near = [F.count_if(d < c).alias("n_close" if one else f"n_close{i}") for i, c in enumerate([close] if one else close, 1)]
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"), F.sqrt(F.avg(d * d)).alias("rmse"), F.corr(a, b).alias("correlation"), F.count_if(d < close).alias("n_close")
+        F.count("*").alias("n"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"), F.sqrt(F.avg(d * d)).alias("rmse"), F.corr(a, b).alias("correlation"), *near
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lags import quantiles
 from .crossbasis import CrossBasis
-from .predict import crosspred, crossreduce
+from .predict import center_value, crosspred, crossreduce
 
 
 def fraction(rr: Column, direction: str = "back") -> Column:
@@ -71,6 +71,20 @@ def attr_by_percentiles(df: DataFrame, x: str, cases: str, cb, coef, vcov, cen:
     return rows.groupBy(*by, F.col("b.band").alias("band")).agg(F.count("*").alias("n_rows"), F.sum("an").alias("an"), F.try_divide(F.sum("an"), F.sum(cases)).alias("af"))
 
 
+def attribution_report(df: DataFrame, x: str, cases: str, cb, coef, vcov, cen: float | None = None, percentiles=(2.5, 97.5), bands=BANDS) -> DataFrame:
+    """(part, cen, n_rows, an, af, cases): total, cold, heat and percentile bands in one table, against the optimum.
+
+    cen None: the exposure of least effect among the percentiles of x. Parts overlap, so they do not add up.
+    """
+    cen = center_value(df, x, "mmt", cb, coef, vcov) if cen is None else cen
+    probs = sorted({*percentiles, *(p for b in bands for p in b)})
+    at = dict(zip(probs, quantiles(df, x, [p / 100 for p in probs]) or [None] * len(probs)))
+    limits = [("total", None, None), ("cold", None, at[percentiles[0]]), ("heat", at[percentiles[1]], None), *((f"{a:g}-{b:g}", at[a], at[b]) for a, b in bands)]
+    parts = F.array_compact(F.array(*(F.when(in_range(x, lo, hi), F.lit(name)) for name, lo, hi in limits)))
+    rows = attributed(df, x, cases, cb, coef, vcov, cen).withColumn("part", F.explode(parts))
+    return rows.groupBy("part").agg(F.lit(float(cen)).alias("cen"), F.count("*").alias("n_rows"), F.sum("an").alias("an"), F.try_divide(F.sum("an"), F.sum(cases)).alias("af"), F.sum(cases).alias("cases"))
+
+
 def simulated(df: DataFrame, x: str, cases: str, cb, coef, vcov, cen: float, nsim: int = 1000, seed: int = 0, range_=(None, None)) -> DataFrame:
     """(sim, an): totals under draws of the coefficients. Exposures are summed up first; each task adds up its own."""
     if isinstance(cb, CrossBasis):

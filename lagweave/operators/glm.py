@@ -6,6 +6,7 @@ p x p rows, and the driver solves a p x p system. Per-location fits run grouped,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -41,6 +42,13 @@ class FitResult:
         se = np.sqrt(np.maximum(np.diag(self.vcov), 0))
         return spark.createDataFrame([(n, float(c), float(s)) for n, c, s in zip(self.names, self.coef, se)], "term string, coef double, se double")
 
+    def summary(self, spark) -> DataFrame:
+        """to_df with z and the two-sided p of the normal distribution; z and p are NULL where se is 0."""
+        se = np.sqrt(np.maximum(np.diag(self.vcov), 0))
+        z = [float(c / s) if s > 0 else None for c, s in zip(self.coef, se)]
+        rows = [(n, float(c), float(s), v, None if v is None else math.erfc(abs(v) / math.sqrt(2))) for n, c, s, v in zip(self.names, self.coef, se, z)]
+        return spark.createDataFrame(rows, "term string, coef double, se double, z double, p double")
+
     def predict(self, df: DataFrame, name: str = "fitted") -> DataFrame:
         eta = sum((F.lit(float(c)) * (F.lit(1.0) if n == "(intercept)" else F.col(n)) for n, c in zip(self.names, self.coef)), F.lit(0.0))
         return df.withColumn(name, {"identity": eta, "log": F.exp(eta), "logit": 1 / (1 + F.exp(-eta))}[self.link])

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import BasisSpec
+from ..sources.tables import summary_columns
 from .crossbasis import CrossBasis
 from .glm import fit_by
 from .dlnm import reduction
-from .predict import percentile_grid
+from .predict import linear_form, percentile_grid
 
 
 @dataclass
@@ -198,6 +199,20 @@ def location_mmt(df: DataFrame, by: str, x: str, spec: BasisSpec, coefs: DataFra
     return at.withColumn("fit", fit).groupBy(by).agg(F.min_by("predvar", best_).alias("mmt"), F.min_by("pct", best_).alias("pct"))
 
 
+def location_report(df: DataFrame, by: str, x: str, y: str, spec: BasisSpec, coefs: DataFrame) -> DataFrame:
+    """city_summary with mmt, its percentile, and the greatest risk against it on its cold and on its hot side.
+
+    coefs: (by, coef), coef of spec. Risks are taken at the whole percentiles of a location's x; a location without
+    any x has NULLs, one without coefs is left out. One shuffle: the percentiles come with the other aggregates.
+    """
+    about = df.groupBy(by).agg(*summary_columns(x, y), F.percentile(x, [i / 100 for i in range(1, 100)]).alias("_q"))
+    fit = F.transform("_q", lambda v: linear_form(F.array(*spec.columns(v)), F.col("coef")))
+    got = about.join(coefs.select(by, "coef"), by).withColumn("_f", fit).withColumn("pct", F.array_position("_f", F.array_min("_f")).cast("int"))
+    over = lambda part: F.exp(F.array_max(part) - F.array_min("_f"))
+    cold, hot = F.slice("_f", F.lit(1), F.col("pct")), F.slice("_f", F.col("pct"), F.lit(99))
+    return got.withColumns({"mmt": F.get("_q", F.col("pct") - 1), "rr_cold": over(cold), "rr_hot": over(hot)}).drop("_q", "_f", "coef")
+
+
 def pooled_mmt(mmts: DataFrame) -> DataFrame:
     return mmts.agg(F.count("*").alias("n"), F.median("mmt").alias("median_mmt"), F.avg("mmt").alias("mean_mmt"), F.stddev_pop("mmt").alias("sd_mmt"))
 

@@ -10,8 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bases import BasisSpec, basis_columns, fit_basis
 from .crossbasis import CrossBasis
-from .glm import LINKS, FitResult, _pass, invert, working
+from .glm import LINKS, FitResult, _pass, gram, invert, working
+from .predict import crosspred
 
 
 def penalty(n: int, kind: str = "difference", order: int = 2) -> np.ndarray:
@@ -27,9 +29,11 @@ def penalty(n: int, kind: str = "difference", order: int = 2) -> np.ndarray:
     return d.T @ d
 
 
-def combined(cb: CrossBasis, lam_var: float, lam_lag: float, kind: str = "difference", order: int = 2) -> np.ndarray:
+def combined(cb: CrossBasis, lam_var: float, lam_lag: float, kind: str | tuple[str, str] = "difference", order: int | tuple[int, int] = 2) -> np.ndarray:
+    """kind, order: one for both dimensions, or of the exposure's and of the lags'."""
     v, n = cb.shape
-    return lam_var * np.kron(penalty(v, kind, order), np.eye(n)) + lam_lag * np.kron(np.eye(v), penalty(n, kind, order))
+    kinds, orders = ((kind, kind) if isinstance(kind, str) else kind), ((order, order) if isinstance(order, int) else order)
+    return lam_var * np.kron(penalty(v, kinds[0], orders[0]), np.eye(n)) + lam_lag * np.kron(np.eye(v), penalty(n, kinds[1], orders[1]))
 
 
 def nelder_mead(f: Callable, start: np.ndarray, rounds: int = 200, tol: float = 1e-7) -> np.ndarray:
@@ -62,6 +66,17 @@ class Penalised:
     edf: float
     criterion: float
     rss: float
+    tss: float
+
+    def smoothing(self) -> dict:
+        """Penalties, effective degrees of freedom and R2; the degrees are split by the other dimension's share of the penalties."""
+        lv, ll = self.lam
+        share = ll / (lv + ll) if lv + ll else 0.5
+        return {"lam_var": lv, "lam_lag": ll, "edf": self.edf, "edf_var": self.edf * share, "edf_lag": self.edf * (1 - share), "r2": 1 - self.rss / self.tss if self.tss > 0 else math.nan}
+
+    def predict(self, at: DataFrame, x: str, cb: CrossBasis, kind: str = "overall", **kw) -> DataFrame:
+        """at with effects, standard errors and intervals, as crosspred gives them."""
+        return crosspred(at, x, cb, *self.fit.part(cb.names), kind, link=self.fit.link, **kw)
 
 
 def criterion(g, c, yy, n, pen, kind: str) -> tuple[float, np.ndarray, float, float]:
@@ -84,7 +99,7 @@ def criterion(g, c, yy, n, pen, kind: str) -> tuple[float, np.ndarray, float, fl
     return value, beta, edf, rss
 
 
-def fit_penalised(df: DataFrame, y: str, cb: CrossBasis, extra: Sequence[str] = (), *, method: str = "gcv", lam: tuple[float, float] | None = None, kind: str = "difference", order: int = 2, family: str = "gaussian", rounds: int = 50) -> Penalised:
+def fit_penalised(df: DataFrame, y: str, cb: CrossBasis, extra: Sequence[str] = (), *, method: str = "gcv", lam: tuple[float, float] | None = None, kind: str | tuple[str, str] = "difference", order: int | tuple[int, int] = 2, family: str = "gaussian", rounds: int = 50) -> Penalised:
     """Penalised fit of y on 1, cb's columns and extra, on complete rows; lam None: chosen by method.
 
     Other families than the Gaussian take penalised reweighted rounds; the criterion is that of the last round's
@@ -118,10 +133,38 @@ def fit_penalised(df: DataFrame, y: str, cb: CrossBasis, extra: Sequence[str] =
     inv = invert(g + whole(*got))
     phi = rss / max(n - edf, 1e-9) if family not in ("poisson", "binomial") else 1.0
     fit = FitResult(names, beta, phi * inv @ g @ inv, family, LINKS.get(family, "log"), phi, rss if family == "gaussian" else dev, n, int(n - edf), converged)
-    return Penalised(fit, got, edf, value, rss)
+    return Penalised(fit, got, edf, value, rss, float(yy - c[0] ** 2 / g[0, 0]))
 
 
 def penalised_dlnm(df: DataFrame, x: str, y: str, t: str, lag, argvar: dict | None = None, arglag: dict | None = None, **kw) -> tuple[CrossBasis, Penalised]:
     """The cross-basis of x and its penalised fit in one call."""
     cb = CrossBasis.fit(df, x, lag, argvar, arglag)
     return cb, fit_penalised(cb.series(df, x, t).join(df.select(t, y), t), y, cb, **kw)
+
+
+@dataclass(frozen=True)
+class SmoothBasis:
+    """A natural-spline basis, and lam times the squared second differences of its coefficients as its penalty."""
+
+    spec: BasisSpec
+    lam: float
+
+    @property
+    def penalty(self) -> np.ndarray:
+        return self.lam * penalty(self.spec.size)
+
+
+def smooth_spline_basis(df: DataFrame, x: str, lam: float = 1.0, df_: int | None = None, knots=None) -> SmoothBasis:
+    return SmoothBasis(fit_basis(df, x, "ns", df_=df_, knots=knots), lam)
+
+
+def fit_smooth(df: DataFrame, x: str, y: str, basis: SmoothBasis) -> FitResult:
+    """Penalised least squares of y on 1 (not penalised) and the basis of x, on complete rows."""
+    names = ["(intercept)", *basis.spec.names("s")]
+    rows = basis_columns(df.select(F.lit(1.0).alias(names[0]), x, F.col(y).cast("double").alias(y)), x, basis.spec, "s").na.drop()
+    g, c, n, yy = gram(rows, names, y)
+    pen = np.zeros_like(g)
+    pen[1:, 1:] = basis.penalty
+    _, beta, edf, rss = criterion(g, c, yy, n, pen, "gcv")
+    inv, phi = invert(g + pen), rss / max(n - edf, 1e-9)
+    return FitResult(names, beta, phi * inv @ g @ inv, "gaussian", "identity", phi, rss, n, int(n - edf), extra={"edf": edf})

@@ -291,22 +291,69 @@ def ridge_2param(spark, sf_dir):
     return rounded(fit.to_df(spark).select("term", "coef"))
 
 
-# Poisson regression of y on x - 25: Newton's steps, from the logarithm of the mean.
-POISSON = f"""WITH RECURSIVE {SHIP}, d AS (SELECT CAST(y AS DOUBLE) AS y, x - 25 AS u FROM s WHERE x IS NOT NULL),
+# Poisson regression of y on u: Newton's steps, from the logarithm of the mean.
+NEWTON = """
 a AS (SELECT array_agg(y ORDER BY y, u) AS ys, array_agg(u ORDER BY y, u) AS us FROM d),
 it AS (SELECT 0 AS n, ln((SELECT avg(y) FROM d)) AS a0, 0.0::DOUBLE AS a1 UNION ALL
   SELECT n + 1, a0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), a1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM
   (SELECT n, a0, a1, list_sum(list_transform(range(1, len(ys) + 1), lambda i: ys[i] - exp(a0 + a1 * us[i]))) AS g0, list_sum(list_transform(range(1, len(ys) + 1), lambda i: us[i] * (ys[i] - exp(a0 + a1 * us[i])))) AS g1,
    list_sum(list_transform(us, lambda u: exp(a0 + a1 * u))) AS h00, list_sum(list_transform(us, lambda u: u * exp(a0 + a1 * u))) AS h01, list_sum(list_transform(us, lambda u: u * u * exp(a0 + a1 * u))) AS h11 FROM it, a WHERE n < 8))
-SELECT term, {q6('coef')} AS coef FROM (SELECT '(intercept)' AS term, a0 AS coef FROM it WHERE n = 8 UNION ALL SELECT 'u', a1 FROM it WHERE n = 8)"""
+"""
 
 
-@query(POISSON)
+@query(f"WITH RECURSIVE {SHIP}, d AS (SELECT CAST(y AS DOUBLE) AS y, x - 25 AS u FROM s WHERE x IS NOT NULL), {NEWTON} SELECT term, {q6('coef')} AS coef FROM (SELECT '(intercept)' AS term, a0 AS coef FROM it WHERE n = 8 UNION ALL SELECT 'u', a1 FROM it WHERE n = 8)")
 def poisson_2param(spark, sf_dir):
     s = series.ship_daily(spark, sf_dir).withColumn("u", F.col("x") - 25)
     return rounded(glm.fit_glm(s, "y", ["u"], "poisson").to_df(spark).select("term", "coef"))
 
 
+@query(f"WITH RECURSIVE {SHIP}, d AS (SELECT CAST(a.y AS DOUBLE) AS y, sum(b.x) - 100 AS u FROM s a JOIN s b ON b.t BETWEEN a.t - 3 AND a.t GROUP BY a.t, a.y HAVING count(b.x) = 4), {NEWTON} SELECT {q6('4 * a1')} AS coef, {q6('exp(20 * a1)')} AS rr, (SELECT count(*) FROM d) AS n FROM it WHERE n = 8")
+def dlnm_poisson(spark, sf_dir):
+    """A whole model in one call, small enough for SQL: the same effect at four lags; overall, and the risk of 5 more."""
+    s = series.ship_daily(spark, sf_dir)
+    m = dlnm.fit_dlnm(s, CrossBasis.fit(s, "x", 3, {"fun": "lin"}, {"fun": "strata"}), "x", "y", "t", family="poisson")
+    return rounded(spark.createDataFrame([(float(m.coef[0]), math.exp(5 * m.coef[0]), m.fit.n)], "coef double, rr double, n long"))
+
+
+@query(
+    f"WITH {SHIP}, m AS (SELECT count(x) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, avg(x) AS mx FROM s WHERE x IS NOT NULL), v AS (SELECT *, (syy - b * b * sxx) / (n - 2) AS phi FROM m), "
+    f"r AS (SELECT '(intercept)' AS term, a AS coef, sqrt(phi * (1.0 / n + mx * mx / sxx)) AS se FROM v UNION ALL SELECT 'x', b, sqrt(phi / sxx) FROM v) SELECT term, {q6('coef')} AS coef, {q6('se')} AS se, {q6('coef / se')} AS z FROM r"
+)
+def glm_summary(spark, sf_dir):
+    return rounded(glm.fit_glm(series.ship_daily(spark, sf_dir), "y", ["x"], "gaussian").summary(spark).drop("p"))
+
+
+@query(f"WITH {REGION} SELECT r_name, CAST(count(x) AS BIGINT) AS n, {q6('regr_intercept(y, x)')} AS intercept, {q6('regr_slope(y, x)')} AS slope FROM r GROUP BY 1")
+def fit_by_ols(spark, sf_dir):
+    got = glm.fit_by(series.region_daily(spark, sf_dir), "r_name", "y", ["x"], "gaussian")
+    return rounded(got.select("r_name", F.col("n").cast("long").alias("n"), F.get("coef", F.lit(0)).alias("intercept"), F.get("coef", F.lit(1)).alias("slope")))
+
+
+# Least squares of y on 1 (not penalised), w1 and w2 of h, with a 2 x 2 penalty.
+def penalised_sql(source: str, names: tuple[str, str], p11: float, p12: float, p22: float) -> str:
+    sums = ", ".join(f"count(*) * covar_pop({a}, {b}) + {p!r} AS {n}" for n, a, b, p in (("a", "w1", "w1", p11), ("b", "w1", "w2", p12), ("d", "w2", "w2", p22), ("e", "w1", "y", 0.0), ("f", "w2", "y", 0.0)))
+    return (
+        f"WITH {source}, m AS (SELECT {sums}, avg(w1) AS m1, avg(w2) AS m2, avg(y) AS my FROM h), q AS (SELECT *, (d * e - b * f) / (a * d - b * b) AS b1, (a * f - b * e) / (a * d - b * b) AS b2 FROM m) "
+        f"SELECT term, {q6('coef')} AS coef FROM (SELECT '(intercept)' AS term, my - b1 * m1 - b2 * m2 AS coef FROM q UNION ALL SELECT '{names[0]}', b1 FROM q UNION ALL SELECT '{names[1]}', b2 FROM q)"
+    )
+
+
+@query(penalised_sql(f"{SHIP}, h AS (SELECT CAST(a.y AS DOUBLE) AS y, sum(b.x) AS w1, sum(b.x * (a.t - b.t)) / 7 AS w2 FROM s a JOIN s b ON b.t BETWEEN a.t - 7 AND a.t GROUP BY a.t, a.y HAVING count(b.x) = 8)", ("v1_l1", "v1_l2"), 2.0 + 300.0, -300.0, 2.0 + 300.0))
+def penalised_fixed(spark, sf_dir):
+    """A penalised cross-basis with given penalties, of one kind per dimension."""
+    s = series.ship_daily(spark, sf_dir)
+    cb = CrossBasis.fit(s, "x", 7, {"fun": "lin"}, {"fun": "poly", "degree": 1})
+    got = penalized.fit_penalised(cb.series(s, "x", "t").join(s.select("t", "y"), "t"), "y", cb, lam=(2.0, 300.0), kind=("ridge", "difference"), order=(1, 1))
+    return rounded(got.fit.to_df(spark).select("term", "coef"))
+
+
+@query(penalised_sql(f"{SHIP}, {KNOTS}, h AS (SELECT CAST(y AS DOUBLE) AS y, {natural(scaled('x'), ['0.0', scaled('k50'), '1.0'])[0]} AS w1, {natural(scaled('x'), ['0.0', scaled('k50'), '1.0'])[1]} AS w2 FROM s, k WHERE x IS NOT NULL)", ("s1", "s2"), 0.5, 0.0, 0.5))
+def smooth_spline(spark, sf_dir):
+    s = series.ship_daily(spark, sf_dir)
+    basis = penalized.smooth_spline_basis(s, "x", lam=0.5, knots=lags.quantiles(s, "x", [0.5]))
+    return rounded(penalized.fit_smooth(s, "x", "y", basis).to_df(spark).select("term", "coef"))
+
+
 # -- predictions from fixed coefficients ---------------------------------------------------------------------
 THETA = np.array([0.08, -0.05, -0.06, 0.04])
 VCOV = np.diag([0.0001, 0.0002, 0.0003, 0.0004])
@@ -420,6 +467,22 @@ def attr_bands(spark, sf_dir):
     return attributing(spark, sf_dir, attribution.attr_by_percentiles)
 
 
+REPORT = [("total", 0.0, 1.0), ("cold", 0.0, 0.025), ("heat", 0.975, 1.0), *((f"{a:g}-{b:g}", a / 100, b / 100) for a, b in attribution.BANDS)]
+
+
+@query(
+    f"WITH {SHIP}, {KNOTS}, {PCT}, o AS (SELECT arg_min(p, fit) AS cen FROM ({OVERALL})), f AS (SELECT x, y, cen, (1 - exp(-((x - cen) / top * 0.44 + ((x / top) ** 2 - (cen / top) ** 2) * -0.32))) * y AS an FROM s, k, o WHERE x IS NOT NULL), "
+    f"c AS (SELECT unnest({[n for n, _, _ in REPORT]}) AS part, unnest(quantile_cont(x, {[a for _, a, _ in REPORT]})) AS lo, unnest(quantile_cont(x, {[b for _, _, b in REPORT]})) AS hi FROM s) "
+    f"SELECT part, {q6('any_value(cen)')} AS cen, count(*) AS n_rows, {q6('sum(an)')} AS an, {q6('sum(an) / sum(y)')} AS af, CAST(sum(y) AS BIGINT) AS cases FROM f, c WHERE x BETWEEN c.lo AND c.hi GROUP BY part"
+)
+def attr_report(spark, sf_dir):
+    """Total, cold, heat and bands against the optimum, from fixed coefficients."""
+    s = series.ship_daily(spark, sf_dir).cache()
+    got = attribution.attribution_report(s, "x", "y", poly_cb(s), THETA, VCOV)
+    s.unpersist()
+    return rounded(got)
+
+
 @query(
     f"WITH {REGION}, k AS (SELECT max(abs(x)) AS top, avg(x) AS mean FROM r), f AS (SELECT r_name, floor(t / 365.25) AS yr, y, (1 - exp(-((x / top - mean / top) * 0.44 + ((x / top) ** 2 - (mean / top) ** 2) * -0.32))) * y AS an FROM r, k WHERE x IS NOT NULL) "
     f"SELECT r_name, CAST(yr AS BIGINT) AS yr, {q6('sum(an)')} AS an, CAST(sum(y) AS BIGINT) AS cases FROM f GROUP BY ROLLUP (r_name, yr)"
@@ -568,6 +631,35 @@ def topk_location(spark, sf_dir):
     return rounded(city_summary(series.region_daily(spark, sf_dir), "r_name", "x", "y").orderBy(F.desc("total"), "r_name").limit(3))
 
 
+@query(
+    f"WITH {REGION}, p AS (SELECT r_name, unnest(range(1, 100)) AS pct, unnest(quantile_cont(x, {[i / 100 for i in range(1, 100)]})) AS v FROM r GROUP BY 1), f AS (SELECT *, v / 150 * -3.3 + (v / 150) ** 2 * 3 AS fit FROM p), "
+    f"m AS (SELECT r_name, arg_min(v, fit) AS mmt, arg_min(pct, fit) AS best, min(fit) AS low FROM f GROUP BY 1), e AS (SELECT r_name, max(exp(fit - low)) FILTER (pct <= best) AS cold, max(exp(fit - low)) FILTER (pct >= best) AS hot FROM f JOIN m USING (r_name) GROUP BY 1), "
+    f"a AS (SELECT r_name, count(*) AS n_days, min(x) AS lo, max(x) AS hi, avg(x) AS mean, sum(y) AS total FROM r GROUP BY 1) "
+    f"SELECT r_name, n_days, {q6('lo')} AS x_min, {q6('hi')} AS x_max, {q6('mean')} AS x_mean, CAST(total AS BIGINT) AS total, CAST(best AS INTEGER) AS pct, {q6('mmt')} AS mmt, {q6('cold')} AS rr_cold, {q6('hot')} AS rr_hot FROM a JOIN m USING (r_name) JOIN e USING (r_name)"
+)
+def location_report(spark, sf_dir):
+    """A report per location with its optimum and the greatest risks on both sides of it, from fixed coefficients."""
+    s = series.region_daily(spark, sf_dir)
+    coefs = series.table(spark, sf_dir, "region").select("r_name", F.array(F.lit(-3.3), F.lit(3.0)).alias("coef"))
+    return rounded(meta.location_report(s, "r_name", "x", "y", bases.BasisSpec("poly", 2, scale=150.0), coefs))
+
+
+@query(f"WITH {REGION} SELECT 'R' || r_regionkey AS code, count(*) AS n, {q6('avg(x)')} AS x FROM r JOIN region USING (r_name) GROUP BY 1 ORDER BY x")
+def named_means(spark, sf_dir):
+    """Means by the names that a map gives to the locations, in order."""
+    from ..sources.tables import with_names
+
+    names = series.table(spark, sf_dir, "region").select("r_name", F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("code"))
+    got = with_names(series.region_daily(spark, sf_dir), "r_name", names, "code").groupBy("code").agg(F.count("*").alias("n"), F.avg("x").alias("x"))
+    return rounded(got).orderBy("x")
+
+
+@query(f"WITH {REGION} SELECT DISTINCT r_name, CAST(year(DATE '1995-01-01' + t) AS INTEGER) AS year FROM r ORDER BY 1, 2")
+def location_years(spark, sf_dir):
+    """The years that each location has, in order."""
+    return series.region_daily(spark, sf_dir).select("r_name", F.year("d").alias("year")).dropDuplicates().orderBy("r_name", "year")
+
+
 @query(f"WITH {REGION}, a AS (SELECT r_name, t, x, last_value(x IGNORE NULLS) OVER p AS x0, last_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER p AS t0, first_value(x IGNORE NULLS) OVER n AS x1, first_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER n AS t1 FROM r WINDOW p AS (PARTITION BY r_name ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY r_name ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT r_name, t, {q6('CASE WHEN t1 = t0 THEN x0 ELSE x0 + (x1 - x0) * (t - t0) / (t1 - t0) END')} AS x FROM a")
 def curve_interp(spark, sf_dir):
     from ..functions.curves import interpolate
@@ -594,6 +686,15 @@ def predict_grid(spark, sf_dir):
     return rounded(g.select("share", "predvar"))
 
 
+@query(f"WITH {REGION}, m AS (SELECT r_name, x AS a, avg(x) OVER (PARTITION BY r_name ORDER BY t ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS b FROM r) SELECT r_name, count(*) AS n, {q6('max(abs(a - b))')} AS max_diff, {q6('avg(abs(a - b))')} AS mean_diff, {q6('sqrt(avg((a - b) ** 2))')} AS rmse, {q6('corr(a, b)')} AS correlation, count(*) FILTER (abs(a - b) < 2) AS n_close1, count(*) FILTER (abs(a - b) < 5) AS n_close2, count(*) FILTER (abs(a - b) < 20) AS n_close3 FROM m WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1")
+def curve_agreement_limits(spark, sf_dir):
+    """How a series agrees with the mean of two days, within three limits."""
+    from ..functions.curves import agreement
+
+    w = Window.partitionBy("r_name").orderBy("t").rowsBetween(-1, 0)
+    return rounded(agreement(series.region_daily(spark, sf_dir).withColumn("m", F.avg("x").over(w)), "x", "m", ["r_name"], close=(2.0, 5.0, 20.0)))
+
+
 @query(f"WITH {SHIP}, b AS (SELECT regr_slope(y, x) AS m, regr_intercept(y, x) AS a FROM s) SELECT t, {q6('a + m * x')} AS fitted FROM s, b")
 def glm_predict(spark, sf_dir):
     s = series.ship_daily(spark, sf_dir)

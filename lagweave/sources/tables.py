@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---- fixed values: columns of the datasets that can be loaded ------------------------------------------
@@ -50,8 +50,18 @@ def city_series(cities: DataFrame) -> DataFrame:
     return got.where("d is not null and TMean is not null and Death is not null")
 
 
+def summary_columns(x: str, y: str) -> list[Column]:
+    return [F.count("*").alias("n_days"), F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(x).alias("x_mean"), F.sum(y).alias("total")]
+
+
 def city_summary(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("n_days"), F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(x).alias("x_mean"), F.sum(y).alias("total"))
+    return df.groupBy(by).agg(*summary_columns(x, y))
+
+
+def with_names(df: DataFrame, key: str, names: DataFrame | dict[str, str], name: str) -> DataFrame:
+    """df with the column name from a map of key, a dict or a table (key, name); rows that it does not have are left out."""
+    table = df.sparkSession.createDataFrame(list(names.items()), f"{key} string, {name} string") if isinstance(names, dict) else names.select(key, name)
+    return df.join(table, key)
 
 
 def read_curves(spark: SparkSession, path: str, prefix: str = "curve_") -> DataFrame:

@@ -342,3 +342,44 @@ def test_penalised(spark, daily):
     assert penalized.fit_penalised(w, "y", cb, lam=(5.0, 5.0), family="poisson").edf < x.shape[1]
     assert np.allclose(penalized.penalty(4, "difference", 1), [[1, -1, 0, 0], [-1, 2, -1, 0], [0, -1, 2, -1], [0, 0, -1, 1]])
     assert np.allclose(penalized.penalty(2), np.eye(2)) and np.allclose(penalized.penalty(3, "ridge"), np.eye(3))
+
+
+def test_smooth_spline_and_penalty_kinds(spark, daily):
+    basis = penalized.smooth_spline_basis(daily, "x", lam=7.0, df_=5)
+    fit = penalized.fit_smooth(daily, "x", "y", basis)
+    x, y = arrays(daily)
+    m = np.column_stack([np.ones(len(x)), basis.spec.numpy(x)])
+    pen = np.zeros((m.shape[1],) * 2)
+    d = np.diff(np.eye(basis.spec.size), 2, axis=0)
+    pen[1:, 1:] = 7.0 * d.T @ d
+    assert np.allclose(fit.coef, np.linalg.solve(m.T @ m + pen, m.T @ y), atol=1e-5)
+    cb = CrossBasis.fit(daily, "x", 4, {"fun": "bs", "df_": 6}, {"fun": "poly", "degree": 3})
+    v, n = cb.shape
+    d = np.diff(np.eye(n), 1, axis=0)
+    want = 2.0 * np.eye(v * n) + 3.0 * np.kron(np.eye(v), d.T @ d)
+    assert np.allclose(penalized.combined(cb, 2.0, 3.0, ("ridge", "difference"), (2, 1)), want)
+    got = penalized.fit_penalised(cb.series(daily, "x", "t").join(daily.select("t", "y"), "t"), "y", cb, lam=(2.0, 6.0))
+    about = got.smoothing()
+    assert math.isclose(about["edf_var"] + about["edf_lag"], got.edf) and math.isclose(about["edf_var"], got.edf * 0.75) and 0 < about["r2"] < 1
+    at = got.predict(daily.select("x"), "x", cb, cen=15.0).first()
+    assert math.isclose(at.high - at.low, 2 * 1.959963984540054 * at.se, rel_tol=1e-9)
+
+
+def test_reports(spark, daily, model):
+    cb, coef, vcov = model
+    two = daily.withColumn("city", F.when(F.col("t") < 200, "a").otherwise("b")).unionByName(daily.limit(3).select("t", F.lit(None).cast("double").alias("x"), "y", F.lit("none").alias("city")))
+    spec = bases.BasisSpec("poly", 2, scale=10.0)
+    coefs = two.select("city").distinct().withColumn("coef", F.array(F.lit(-3.0), F.lit(1.0)))
+    rows = {r.city: r for r in meta.location_report(two, "city", "x", "y", spec, coefs).collect()}
+    assert rows["none"].mmt is None and rows["none"].n_days == 3 and rows["none"].rr_hot is None
+    for c, part in (("a", slice(0, 200)), ("b", slice(200, 400))):
+        q = np.percentile(arrays(daily)[0][part], np.arange(1, 100))
+        f = -3 * q / 10 + (q / 10) ** 2
+        k = f.argmin()
+        got = rows[c]
+        assert got.pct == k + 1 and np.allclose([got.mmt, got.rr_cold, got.rr_hot], [q[k], np.exp(f[: k + 1].max() - f[k]), np.exp(f[k:].max() - f[k])])
+    report = {r.part: r for r in attribution.attribution_report(daily, "x", "y", cb, coef, vcov).collect()}
+    whole = attribution.attrdl(daily, "x", "y", cb, coef, vcov, report["total"].cen).first()
+    assert math.isclose(report["total"].an, whole.an) and report["total"].n_rows == 400 and {"cold", "heat", "0-1", "99-100"} <= set(report)
+    named = {r.term: r for r in glm.fit_glm(daily, "y", ["x"], "gaussian").summary(spark).collect()}
+    assert math.isclose(named["x"].z, named["x"].coef / named["x"].se) and 0 <= named["x"].p <= 1
