@@ -632,7 +632,7 @@ def topk_location(spark, sf_dir):
 
 
 @query(
-    f"WITH {REGION}, p AS (SELECT r_name, unnest(range(1, 100)) AS pct, unnest(quantile_cont(x, {[i / 100 for i in range(1, 100)]})) AS v FROM r GROUP BY 1), f AS (SELECT *, v / 150 * -3.3 + (v / 150) ** 2 * 3 AS fit FROM p), "
+    f"WITH {REGION}, p AS (SELECT r_name, unnest(range(1, 100)) AS pct, unnest(quantile_cont(x, {[i / 100 for i in range(1, 100)]})) AS v FROM r GROUP BY 1), f AS (SELECT *, v / 500 * -0.5 + (v / 500) ** 2 * 1.5 AS fit FROM p), "
     f"m AS (SELECT r_name, arg_min(v, fit) AS mmt, arg_min(pct, fit) AS best, min(fit) AS low FROM f GROUP BY 1), e AS (SELECT r_name, max(exp(fit - low)) FILTER (pct <= best) AS cold, max(exp(fit - low)) FILTER (pct >= best) AS hot FROM f JOIN m USING (r_name) GROUP BY 1), "
     f"a AS (SELECT r_name, count(*) AS n_days, min(x) AS lo, max(x) AS hi, avg(x) AS mean, sum(y) AS total FROM r GROUP BY 1) "
     f"SELECT r_name, n_days, {q6('lo')} AS x_min, {q6('hi')} AS x_max, {q6('mean')} AS x_mean, CAST(total AS BIGINT) AS total, CAST(best AS INTEGER) AS pct, {q6('mmt')} AS mmt, {q6('cold')} AS rr_cold, {q6('hot')} AS rr_hot FROM a JOIN m USING (r_name) JOIN e USING (r_name)"
@@ -640,8 +640,8 @@ def topk_location(spark, sf_dir):
 def location_report(spark, sf_dir):
     """A report per location with its optimum and the greatest risks on both sides of it, from fixed coefficients."""
     s = series.region_daily(spark, sf_dir)
-    coefs = series.table(spark, sf_dir, "region").select("r_name", F.array(F.lit(-3.3), F.lit(3.0)).alias("coef"))
-    return rounded(meta.location_report(s, "r_name", "x", "y", bases.BasisSpec("poly", 2, scale=150.0), coefs))
+    coefs = series.table(spark, sf_dir, "region").select("r_name", F.array(F.lit(-0.5), F.lit(1.5)).alias("coef"))
+    return rounded(meta.location_report(s, "r_name", "x", "y", bases.BasisSpec("poly", 2, scale=500.0), coefs))
 
 
 @query(f"WITH {REGION} SELECT 'R' || r_regionkey AS code, count(*) AS n, {q6('avg(x)')} AS x FROM r JOIN region USING (r_name) GROUP BY 1 ORDER BY x")
