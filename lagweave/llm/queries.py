@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_shards, license_scan, line_dedup, lm_trie, media, pii, simhash, toxicity, winnow
-from .common import LOWER, UPPER
+from . import bpe, centroids, kd_shards, license_scan, line_dedup, lm_trie, media, pii, repair, simhash, substrings, toxicity, winnow
+from .common import LOWER, UPPER, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,26 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, toxicity.label_columns(table(spark, sf_dir, "labels"))))
 
 
+def op11_centroids(spark, sf_dir):
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_substring_dedup(spark, sf_dir):
+    return substrings.shown(substrings.repeats(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.shown(rows, materialize(repair.audits(rows), "audits"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_line_dedup, op3_lm_score, op4_simhash_near_dedup, op5_decontamination, op6_kd_shards, op7_bpe, op8_license_scan, op9_pii, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_line_dedup, op3_lm_score, op4_simhash_near_dedup, op5_decontamination, op6_kd_shards, op7_bpe, op8_license_scan, op9_pii, op10_toxicity, op11_centroids, op12_substring_dedup, op13_conversation_repair, pipeline)}
 
 LINES_SQL = rf"""
 WITH p AS (SELECT page_id, coalesce(regexp_extract(lower(url), '{line_dedup.HOST}', 1), '') AS host,
@@ -109,4 +122,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 """
 
 #: The others train a model, link through components, build a tree or read back files; tests/llm holds them to brute force.
-SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op5_decontamination": BENCHMARK_SQL, "op8_license_scan": LICENSE_SQL}
+SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op5_decontamination": BENCHMARK_SQL, "op8_license_scan": LICENSE_SQL, "op11_centroids": centroids.oracle_sql(), "op12_substring_dedup": substrings.oracle_sql(), "op13_conversation_repair": repair.oracle_sql()}

@@ -18,6 +18,8 @@ U = np.uint64
 PIECE = 1 << 18
 BASE = xxhash.xxh64_intdigest(b"base") | 1
 VALUES = np.array([xxhash.xxh64_intdigest(bytes([b + 32 if 65 <= b <= 90 else b])) for b in range(256)], U)
+#: The same with capitals told apart.
+EXACT = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], U)
 BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
@@ -37,17 +39,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def long_word(raw: np.ndarray) -> int:
+def long_word(raw: np.ndarray, values: np.ndarray = VALUES) -> int:
     """The polynomial of a word longer than a piece."""
     total, factor, step = 0, 1, int(UP[PIECE - 1]) * BASE % (1 << 64)
     for i in range(0, len(raw), PIECE):
-        part = VALUES[raw[i : i + PIECE]]
+        part = values[raw[i : i + PIECE]]
         total = (total + factor * int((part * UP[: len(part)]).sum(dtype=U))) % (1 << 64)
         factor = factor * step % (1 << 64)
     return total
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
     """The hashes of the words raw[start:end], which do not overlap and are in order."""
     out = np.empty(len(starts), U)
     i = 0
@@ -55,9 +57,9 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         begin = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
         if int(ends[j - 1]) - begin > PIECE:
-            out[i] = long_word(raw[begin : int(ends[i])])
+            out[i] = long_word(raw[begin : int(ends[i])], values)
         else:
-            part = VALUES[raw[begin : int(ends[j - 1])]]
+            part = values[raw[begin : int(ends[j - 1])]]
             sums = np.concatenate([np.zeros(1, U), np.cumsum(part * UP[: len(part)], dtype=U)])
             a, b = starts[i:j] - begin, ends[i:j] - begin
             out[i:j] = (sums[b] - sums[a]) * DOWN[a]
@@ -79,7 +81,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), at
 
 
-def blocks(column: pa.Array, block_bytes: int, first: int, last: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, block_bytes: int, first: int, last: int, values: np.ndarray = VALUES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(i, j, tokens, starts) for rows i..j-1 of about block_bytes together: first, the words' hashes, last of every
     row, and the row's place in tokens (starts has one more entry)."""
     data, at = buffers(column)
@@ -97,7 +99,7 @@ def blocks(column: pa.Array, block_bytes: int, first: int, last: int) -> Iterato
         upto = np.searchsorted(s, edge)
         starts = upto + 2 * np.arange(len(upto))
         out = np.empty(starts[-1], U)
-        out[np.arange(len(s)) + 2 * np.repeat(np.arange(j - i), np.diff(upto)) + 1] = hash_spans(raw, s, e)
+        out[np.arange(len(s)) + 2 * np.repeat(np.arange(j - i), np.diff(upto)) + 1] = hash_spans(raw, s, e, values)
         out[starts[:-1]], out[starts[1:] - 1] = first, last
         yield i, j, out, starts
         i = j
