@@ -3,8 +3,8 @@
 Format "media_archive":
 
 * the writer gives each task its archives (8-bit mono WAV members, deflated), rolled over at `archive_bytes`; an
-  archive counts only once the commit has listed it in the folder's index, so attempts of lost executors leave none
-  behind;
+  archive counts only once the commit has listed it in an index of its own, so attempts of lost executors leave none
+  behind, appending adds to what is there, and overwriting takes away the indexes and archives listed before;
 * the reader plans byte ranges over the archives' central directories, of about `partition_bytes` of stored members
   each. Entries of our archives have one length, so ranges are cut by arithmetic from the index, and the driver opens
   no archive; a foreign ZIP, without index, is one range (ZIP64 records are refused);
@@ -38,7 +38,8 @@ from .common import new_path
 from .files import located, make_dir
 
 UNIT, RATE = 64, 8000
-INDEX = "_index.json"
+#: Start and end of the names of index files, one for each commit.
+INDEX = "_index", ".json"
 #: Bytes: of stored members per partition, of media per batch, of an archive; tries per member; deflate level.
 PARTITION_BYTES, BATCH_BYTES, ARCHIVE_BYTES, RETRIES, LEVEL = 64 << 20, 8 << 20, 256 << 20, 3, 4
 SCHEMA = "key long, archive string, offset long, media binary, error string"
@@ -116,8 +117,8 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, uri: str, archive_bytes: int):
-        self.uri, self.archive_bytes = uri, archive_bytes
+    def __init__(self, uri: str, archive_bytes: int, overwrite: bool = False):
+        self.uri, self.archive_bytes, self.overwrite = uri, archive_bytes, overwrite
 
     def write(self, iterator):
         fs, folder = located(self.uri)
@@ -135,8 +136,13 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         fs, folder = located(self.uri)
-        with fs.open_output_stream(f"{folder}/{INDEX}") as f:
+        before = indexes(fs, folder) if self.overwrite else {}
+        with fs.open_output_stream(f"{folder}/{INDEX[0]}-{uuid.uuid4().hex}{INDEX[1]}") as f:
             f.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
+        for path, archives in before.items():
+            fs.delete_file(path)
+            for a in archives:
+                fs.delete_file(f"{folder}/{a['name']}")
 
     def abort(self, messages):
         fs, folder = located(self.uri)
@@ -144,6 +150,16 @@ class ArchiveWriter(DataSourceArrowWriter):
             fs.delete_file(f"{folder}/{a['name']}")
 
 
+def indexes(fs: pafs.FileSystem, folder: str) -> dict[str, list[dict]]:
+    """The archives that each index file of a folder lists, by its path."""
+    out = {}
+    for info in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if info.base_name.startswith(INDEX[0]) and info.base_name.endswith(INDEX[1]):
+            with fs.open_input_stream(info.path) as f:
+                out[info.path] = json.loads(f.read())
+    return out
+
+
 @dataclass
 class Range(InputPartition):
     """Bytes start..end of the central directory of an archive."""
@@ -177,11 +193,9 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self):
         fs, folder = located(self.uri)
-        if fs.get_file_info(f"{folder}/{INDEX}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{folder}/{INDEX}") as f:
-                listed = json.loads(f.read())
+        if found := indexes(fs, folder):
             out = []
-            for a in listed:
+            for a in (a for path in sorted(found) for a in found[path]):
                 entry = a["size"] // max(1, a["members"])
                 step = max(1, self.partition_bytes * a["members"] // max(1, a["start"])) * entry
                 out += [Range(a["name"], s, min(s + step, a["start"] + a["size"])) for s in range(a["start"], a["start"] + a["size"], step or 1)]
@@ -266,15 +280,18 @@ class MediaArchive(DataSource):
 
     def writer(self, schema, overwrite):
         make_dir(self.options["path"])
-        return ArchiveWriter(self.options["path"], int(self.options.get("archive_bytes", ARCHIVE_BYTES)))
+        return ArchiveWriter(self.options["path"], int(self.options.get("archive_bytes", ARCHIVE_BYTES)), overwrite)
+
 
+def store(docs: DataFrame, uri: str | None = None, mode: str = "append") -> str:
+    """Writes docs (doc_id long, text) as media; returns the folder, by default a new one in the shared folder.
 
-def store(docs: DataFrame, uri: str | None = None) -> str:
-    """Writes docs (doc_id long, text) as media; returns the folder, by default a new one in the shared folder."""
+    mode: append or overwrite, of what a folder holds already.
+    """
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchive)
     uri = uri or new_path(spark, "media")
-    docs.select(F.col("doc_id").cast("long").alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")).write.format("media_archive").mode("append").save(uri)
+    docs.select(F.col("doc_id").cast("long").alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")).write.format("media_archive").mode(mode).save(uri)
     return uri
 
 

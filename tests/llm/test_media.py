@@ -101,3 +101,18 @@ def test_member_is_tried_again_by_its_offset(tmp_path, monkeypatch):
     rows = [r for b in reader.read(reader.partitions()[0]) for r in b.to_pylist()]
     assert [r["key"] for r in rows] == [0, 1, 2] and len(tries) == 4 and tries[1] == tries[2]
     assert np.frombuffer(media.wav_samples(rows[1]["media"])[0], np.uint8)[0] == ord("1")
+
+
+def test_append_and_overwrite(spark):
+    rows = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    held = lambda: sorted(r.key for r in media.load(spark, uri).collect())
+    uri = media.store(rows(1, 2))
+    assert held() == [1, 2]
+    media.store(rows(3), uri)
+    media.store(rows(), uri)
+    assert held() == [1, 2, 3]
+    media.store(rows(3, 4).repartition(2), uri, mode="overwrite")
+    assert held() == [3, 4]
+    fs, folder = media.located(uri)
+    names = [i.base_name for i in fs.get_file_info(media.pafs.FileSelector(folder))]
+    assert sum(n.endswith(".json") for n in names) == 1 and sum(n.endswith(".zip") for n in names) == sum(len(x) for x in media.indexes(fs, folder).values())
