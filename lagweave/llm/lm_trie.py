@@ -10,7 +10,7 @@ that scoring maps into memory; on a file system that cannot be mapped, pages are
 bounded number is kept.
 
 p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU); p(w | u v) = (k(u v w) +
-MU p(w | v)) / (k(u v) + MU), where k counts the triples that occur CUTOFF times or more, and k(u v) is their sum, so
+MU p(w | v)) / (k(u v) + MU), where k counts the triples that occur `cutoff` times or more, and k(u v) is their sum, so
 every distribution adds up to 1. All triples are counted; those below the cut-off are not stored. A text starts in a
 context of its own and closes with an end token.
 
@@ -57,6 +57,7 @@ class Model:
     words: int = 0
     block_bytes: int = BLOCK_BYTES
     split: int = SPLIT
+    cutoff: int = CUTOFF
 
     @property
     def size(self) -> int:
@@ -312,7 +313,7 @@ def write_grams(model: Model):
             log_p = np.log10((n + MU * model.base(level1.counts(w))) / (starts + MU))
             write_arrays(f"{model.folder}/2-{shard}", coded_grams(context, w, log_p, model.size), {})
         else:
-            kept = n >= CUTOFF
+            kept = n >= model.cutoff
             context, w, n = context[kept], w[kept], n[kept]
             if not len(n):
                 return pa.table({"level": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
@@ -385,8 +386,9 @@ def write_triples(model: Model):
     return run
 
 
-def train(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, split: int = SPLIT) -> Model:
-    """Counts the texts of docs and writes the trie to the shared folder. order: 2 or 3."""
+def train(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, split: int = SPLIT, cutoff: int = CUTOFF) -> Model:
+    """Counts the texts of docs and writes the trie to the shared folder. order: 2 or 3; cutoff: the least count of the
+    triples that are stored, 1 for all of them."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(12, -(-size // SHARD_BYTES))
@@ -396,7 +398,7 @@ def train(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, s
     words = raw.mapInArrow(lambda b: count_words(b, shards, block_bytes), "shard int, packed binary").groupBy("shard").applyInArrow(write_words(folder), "shard int, rows long, words long, tokens long").collect()  # a row per shard
     held = {r["shard"]: r["rows"] for r in words}
     first = tuple(np.cumsum([0, *(held.get(s, 0) for s in range(shards))]).tolist())
-    model = Model(folder, shards, order, first, (), sum(r["tokens"] for r in words), sum(r["words"] for r in words), block_bytes, split)
+    model = Model(folder, shards, order, first, (), sum(r["tokens"] for r in words), sum(r["words"] for r in words), block_bytes, split, cutoff)
     if model.size >= 1 << 32:
         raise ValueError("more than 2 ** 32 words: pairs no longer fit 64 bits")
     counts = raw.mapInArrow(lambda b: count_grams(b, model), "level int, shard int, packed binary")

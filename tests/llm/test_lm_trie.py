@@ -22,7 +22,7 @@ def test_elias_fano():
         assert (i == np.searchsorted(v, x)).all() and (equal == np.isin(x, v)).all()
 
 
-def brute(docs, order):
+def brute(docs, order, cutoff=lm_trie.CUTOFF):
     """docs: (doc_id, text) -> the result's rows by dictionaries."""
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
     toks = lambda t: [b" start", *(t or "").encode().lower().split(), b" end"]
@@ -34,7 +34,7 @@ def brute(docs, order):
             two.update(zip(w, w[1:]))
             three.update(zip(w, w[1:], w[2:]))
             ctx.update(w[:-1])
-    kept = {g: n for g, n in three.items() if n >= lm_trie.CUTOFF} if order > 2 else {}
+    kept = {g: n for g, n in three.items() if n >= cutoff} if order > 2 else {}
     sums = collections.Counter()
     for (a, b, _), n in kept.items():
         sums[a, b] += n
@@ -53,7 +53,7 @@ def brute(docs, order):
 def check(df, docs, order=lm_trie.ORDER, **limits):
     got = lm_trie.train_and_score(df, order, **limits).collect()
     key = lambda r: (str(r[0]), r[2], round(r[5], 3))
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute(docs, order), key=key), strict=True):
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute(docs, order, limits.get("cutoff", lm_trie.CUTOFF)), key=key), strict=True):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9)
         assert abs(a[6] - b[6]) <= 3e-4 * a[2]  # up to three quantised parts a token
     return got
@@ -67,6 +67,10 @@ def test_documents(documents, rows, order):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_all_triples(documents, rows):
+    check(documents, rows, cutoff=1, block_bytes=100_000)
+
+
 def test_higher_order_tells_more(documents, rows):
     two, three = (sum(r.score for r in lm_trie.train_and_score(documents, k).collect()) for k in (2, 3))
     assert three > two
