@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 #: Words of more pieces than this merge through a heap: scanning an array is quadratic.
 SHORT = 128
 #: Distinct words remembered by a Python worker before it starts afresh.
@@ -178,12 +180,12 @@ def bpe(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decode
 
     path: a vocabulary file that every executor can read, as installed packages are.
     """
-    rest = [c for c in docs.columns if c not in (ids, decoded)]
+    rest, (own,) = [c for c in docs.columns if c not in (ids, decoded)], fresh(docs, "__text")
 
     def run(batches):
         vocab = vocabulary(path)
         for b in batches:
-            packed = [vocab.encode(t or "") for t in b.column("__text").to_pylist()]
+            packed = [vocab.encode(t or "") for t in b.column(own).to_pylist()]
             keep = [b.column(i) for i in range(len(rest))]
             yield pa.RecordBatch.from_arrays(
                 [*keep, pa.array(packed, pa.binary()), pa.array(map(vocab.decode, packed), pa.string())],
@@ -191,7 +193,7 @@ def bpe(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decode
             )
 
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
-    return docs.select(*rest, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*rest, F.col(text).alias(own)).mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

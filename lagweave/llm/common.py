@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,19 +20,11 @@ BLANKED = "".join(chr(c) for c in range(128) if ALNUM[c] == 32)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own.
-
-    Only where the setting is absent we choose: a temp folder under a local master (one machine), the
-    warehouse elsewhere.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one in the warehouse."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] == "local":
-        if not hasattr(shared_dir, "own"):
-            shared_dir.own = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        return shared_dir.own
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 

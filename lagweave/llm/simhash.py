@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_id
+from .common import fresh, materialize, with_row_id
 from .components import components
 
 SHINGLE, SEED, REACH, PIVOTS = 3, 42, 3, 8
@@ -161,12 +161,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays. Rows without doc_id stay.
     """
     text = F.coalesce("text", F.lit(""))
-    parts = {"id": F.col("doc_id"), "__h": F.xxhash64(text), "__n": F.octet_length(text)}
+    h, n = fresh(docs, "__h", "__n")
+    parts = {"id": F.col("doc_id"), h: F.xxhash64(text), n: F.octet_length(text)}
     named = docs.where("doc_id is not null")
     # A null key takes part in a component but never names it.
-    key = F.when(F.col("doc_id").isNotNull(), F.struct(*(c.alias(n) for n, c in parts.items())))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(*(c.alias(k) for k, c in parts.items())))
     first = near_duplicates(docs.select(key.alias("doc_id"), "text")).where("doc_id = component_id")
-    kept = first.select(F.col("doc_id.id").alias("doc_id"), "doc_id.__h", "doc_id.__n").distinct()
-    marked = named.withColumns({n: parts[n] for n in ("__h", "__n")})
-    one = marked.join(kept, ["doc_id", "__h", "__n"], "left_semi").dropDuplicates(["doc_id", "__h", "__n"])
+    kept = first.select(F.col("doc_id.id").alias("doc_id"), f"doc_id.{h}", f"doc_id.{n}").distinct()
+    marked = named.withColumns({k: parts[k] for k in (h, n)})
+    one = marked.join(kept, ["doc_id", h, n], "left_semi").dropDuplicates(["doc_id", h, n])
     return one.select(docs.columns).union(docs.where("doc_id is null"))

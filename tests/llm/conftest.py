@@ -23,7 +23,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, SCHEMA)
-    return df.select("*", *(F.lit(7).alias(c) for c in ("f", "k", "h", "words", "host", "ids", "prints", "raw", "_row", "shard", "lines")))
+    return df.select("*", *(F.lit(7).alias(c) for c in ("f", "k", "h", "words", "host", "ids", "prints", "raw", "_row", "shard", "lines", "__h", "__n", "__text")))
 
 
 @pytest.fixture(scope="session")

@@ -100,6 +100,7 @@ def test_odd_rows(odd, none):
     assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
+    assert {(r["__h"], r["__n"]) for r in kept.collect()} == {(7, 7)}
     assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [None, 1, 4, 5, 6, 8, 9, 10, 11]
     assert simhash.near_duplicates(none).count() == 0
 
