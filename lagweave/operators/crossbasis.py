@@ -46,17 +46,18 @@ class CrossBasis:
     def centered(self, cen: float | None) -> CrossBasis:
         return CrossBasis(self.var.centered(cen), self.lags, self.lag)
 
-    def series(self, df: DataFrame, x: str = "x", t: str = "t", by: Sequence[str] = (), na: str = "null") -> DataFrame:
+    def series(self, df: DataFrame, x: str = "x", t: str = "t", by: Sequence[str] = (), na: str = "null", values: Sequence[str] | None = None) -> DataFrame:
         """(by, t, names): a row per row of df; NULL without the whole history.
 
         by: location, and season or any other group that histories must not cross. t: integers, once per group.
-        na='zero': missing exposures inside a history count as 0.
+        na='zero': missing exposures inside a history count as 0. values: columns that hold the exposure's basis already,
+        as where knots are a location's own.
         """
         c = self.lag_matrix()
         v, n = self.shape
         lags = list(range(self.lag[0], self.lag[1] + 1))
         spread = F.array(*(F.struct(F.lit(k).alias("lag"), *(F.lit(float(a)).alias(f"c{j}") for j, a in enumerate(row))) for k, row in zip(lags, c)), F.struct(F.lit(None).cast("int").alias("lag"), *(F.lit(0.0).alias(f"c{j}") for j in range(n))))
-        r = [b.alias(f"r{i}") for i, b in enumerate(self.var.columns(F.col(x)))]
+        r = [b.alias(f"r{i}") for i, b in enumerate(map(F.col, values) if values else self.var.columns(F.col(x)))]
         long = df.select(*by, F.col(t).alias("_t"), *r, F.explode(spread).alias("s"))
         sums = [F.sum(F.col(f"r{i}") * F.col(f"s.c{j}")).alias(f"w{i}_{j}") for i in range(v) for j in range(n)]
         full = F.count(F.when(F.col("s.lag").isNotNull(), F.col("r0") if na == "null" else F.lit(1)))

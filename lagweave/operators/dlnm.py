@@ -11,53 +11,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bases import BasisSpec
+from ..functions.groups import own_basis, own_knots
 from ..functions.lags import quantiles
+from ..functions.season import Season, natural_in_b_splines, season_columns
 from .crossbasis import CrossBasis
-from .glm import FitResult, dow_dummies, fit_by, fit_glm
+from .glm import FitResult, dow_dummies, fit_glm
+from .grouped import fit_locations
 from .predict import crossreduce
 
 
-def natural_in_b_splines(knots: Sequence[float], bounds: tuple[float, float]) -> tuple[BasisSpec, np.ndarray]:
-    """A B-spline basis and the matrix that takes it to natural splines without a constant (len(knots) + 1 columns).
-
-    Same curves as the truncated powers of `ns`, but each B-spline is short, so that dozens of knots do not spoil the
-    normal equations.
-    """
-    spec = BasisSpec("bs", 3, tuple(knots), bounds)
-    ends = [bounds[0], *knots, bounds[1]]
-    at = [ends[0] + np.arange(4) * (ends[1] - ends[0]) / 3, ends[-1] - np.arange(4) * (ends[-1] - ends[-2]) / 3]
-    bent = np.stack([np.array([2, -5, 4, -1]) @ spec.numpy(x) for x in at])  # second derivatives of cubics, to scale
-    q, _ = np.linalg.qr((bent / np.abs(bent).max(1, keepdims=True)).T, mode="complete")
-    return spec, q[:, 2:]
-
-
 def seasonality(df: DataFrame, date: str, t: str, dfseas: int = 8, prefix: str = "season") -> tuple[DataFrame, list[str]]:
     """df with a natural spline of the day, dfseas degrees of freedom for every year that df has."""
     years = df.select(F.count_distinct(F.year(date))).first()[0]
     n = dfseas * max(1, years)
-    lo, *knots, hi = quantiles(df, t, [i / n for i in range(n + 1)]) or [0.0, *(i / n for i in range(1, n)), 1.0]
-    spec, q = natural_in_b_splines(knots, (float(lo), float(hi)))
+    ends = quantiles(df, t, [i / n for i in range(n + 1)]) or [i / n for i in range(n + 1)]
     names = [f"{prefix}{i}" for i in range(1, n + 1)]
 
     def run(batches):
         for b in batches:
-            m = spec.numpy(b.column(t).to_numpy(zero_copy_only=False).astype(float)) @ q
+            m = season_columns(ends, b.column(t).to_numpy(zero_copy_only=False).astype(float))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c), from_pandas=True) for c in m.T)], names=[*b.schema.names, *names])
 
     kinds = [*df.schema.fields, *(T.StructField(k, T.DoubleType()) for k in names)]
     return df.mapInArrow(run, T.StructType(kinds)), names
 
 
-def design(df: DataFrame, cb: CrossBasis, x: str, t: str, *, date: str | None = None, dfseas: int | None = None, dow: bool = False, by: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """df with the cross-basis columns, and the names of the covariates that were added."""
+def design(df: DataFrame, cb: CrossBasis, x: str, t: str, *, date: str | None = None, dfseas: int | None = None, dow: bool = False, by: Sequence[str] = (), knots: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """df with the cross-basis columns, and the names of the covariates that were added.
+
+    dfseas is for one series (by: empty); a model per location takes a Season. knots: (by, knots, lo, hi), where the
+    knots and the range of the exposure's basis are a location's own.
+    """
     out, names = df, []
     if dow:
         out, names = dow_dummies(out, date)
     if dfseas:
         out, more = seasonality(out, date, t, dfseas)
         names = [*names, *more]
-    return out.join(cb.series(df, x, t, by), [*by, t]), names
+    if knots is None:
+        return out.join(cb.series(df, x, t, by), [*by, t]), names
+    values = [f"_r{i}" for i in range(cb.var.size)]
+    return out.join(cb.series(own_basis(df.select(*by, t, x), by[0], x, cb.var, knots, values), x, t, by, values=values), [*by, t]), names
 
 
 @dataclass
@@ -70,18 +64,21 @@ class Dlnm:
     vcov: np.ndarray
 
 
-def fit_dlnm(df: DataFrame, cb: CrossBasis, x: str, y: str, t: str, *, family: str = "quasipoisson", date: str | None = None, dfseas: int | None = None, dow: bool = False, covariates: Sequence[str] = (), offset: str | None = None, by: str | None = None) -> Dlnm | DataFrame:
+def fit_dlnm(df: DataFrame, cb: CrossBasis, x: str, y: str, t: str, *, family: str = "quasipoisson", date: str | None = None, dfseas: int | None = None, dow: bool = False, covariates: Sequence[str] = (), offset: str | None = None, by: str | None = None, knots_at: Sequence[float] | None = None) -> Dlnm | DataFrame:
     """y ~ cross-basis of x + covariates + day of the week + spline of the date, on complete rows.
 
     t: integer days, once per location. by: a model per location, as (by, coef, vcov, dispersion, n, converged) with
     coef and vcov reduced to the exposure's basis; else one model. A model that does not converge raises.
+
+    Each location has the degrees of freedom of its own years, with knots at its own days; knots_at: shares of a
+    location's exposures at which the knots of its exposure's basis lie, in place of those of cb.
     """
     if (dow or dfseas) and date is None:
         raise ValueError("the day of the week and seasonality take the column of the date")
-    full, more = design(df, cb, x, t, date=date, dfseas=dfseas, dow=dow, by=[by] if by else [])
-    names = [*cb.names, *covariates, *more]
     if by:
-        return fit_by(full, by, y, names, family, form=reduction(cb, len(names) - len(cb.names)))
+        return fit_regions(df, cb, x, y, t, by, family=family, date=date, dfseas=dfseas, dow=dow, covariates=covariates, offset=offset, knots=own_knots(df, by, x, knots_at) if knots_at else None)
+    full, more = design(df, cb, x, t, date=date, dfseas=dfseas, dow=dow)
+    names = [*cb.names, *covariates, *more]
     full = full.select(y, *names, *([offset] if offset else [])).cache()
     fit = fit_glm(full, y, names, family, offset)
     full.unpersist()
@@ -90,6 +87,14 @@ def fit_dlnm(df: DataFrame, cb: CrossBasis, x: str, y: str, t: str, *, family: s
     return Dlnm(cb, fit, *crossreduce(cb, *fit.part(cb.names)))
 
 
+def fit_regions(df: DataFrame, cb: CrossBasis, x: str, y: str, t: str, by: str, *, family: str, date: str | None, dfseas: int | None, dow: bool, covariates: Sequence[str], offset: str | None, knots: DataFrame | None = None) -> DataFrame:
+    """A model per location, reduced to the exposure's basis."""
+    full, more = design(df, cb, x, t, date=date, dow=dow, by=[by], knots=knots)
+    names = [*cb.names, *covariates, *more]
+    season = Season(t, date, dfseas) if dfseas else None
+    return fit_locations(full, by, y, names, family, reduction(cb, len(names) - len(cb.names)), offset=offset, season=season, t=t, counted=df)
+
+
 def reduction(cb: CrossBasis, others: int) -> np.ndarray:
     """The form that takes a whole model's coefficients to the overall ones of the exposure's basis."""
     m = cb.reduce_to(cb.lag_matrix().sum(0))

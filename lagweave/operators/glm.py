@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.season import Season, season_columns
+
 FAMILIES = ("gaussian", "poisson", "quasipoisson", "gamma", "binomial")
 LINKS = {"gaussian": "identity", "binomial": "logit"}
 
@@ -32,6 +34,7 @@ class FitResult:
     df_resid: int = 0
     converged: bool = True
     extra: dict = field(default_factory=dict)
+    offset: str | None = None
 
     def part(self, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Coefficients and covariance by name."""
@@ -50,7 +53,8 @@ class FitResult:
         return spark.createDataFrame(rows, "term string, coef double, se double, z double, p double")
 
     def predict(self, df: DataFrame, name: str = "fitted") -> DataFrame:
-        eta = sum((F.lit(float(c)) * (F.lit(1.0) if n == "(intercept)" else F.col(n)) for n, c in zip(self.names, self.coef)), F.lit(0.0))
+        """df with the expected outcome, with the offset that the model was fitted with."""
+        eta = sum((F.lit(float(c)) * (F.lit(1.0) if n == "(intercept)" else F.col(n)) for n, c in zip(self.names, self.coef)), F.col(self.offset) if self.offset else F.lit(0.0))
         return df.withColumn(name, {"identity": eta, "log": F.exp(eta), "logit": 1 / (1 + F.exp(-eta))}[self.link])
 
 
@@ -170,7 +174,7 @@ def fit_glm(df: DataFrame, y: str, names: Sequence[str], family: str = "poisson"
     free = n - int(np.linalg.matrix_rank(a * np.outer(s := 1 / np.sqrt(np.maximum(np.diag(a), 1e-300)), s)))
     phi = pearson / free if family in ("gaussian", "quasipoisson", "gamma") and free > 0 else 1.0
     inverse = invert(a + n * shrunk)
-    return FitResult(["(intercept)", *names], beta, phi * (inverse @ a @ inverse if ridge else inverse), family, LINKS.get(family, "log"), phi, dev, n, free, converged)
+    return FitResult(["(intercept)", *names], beta, phi * (inverse @ a @ inverse if ridge else inverse), family, LINKS.get(family, "log"), phi, dev, n, free, converged, offset=offset)
 
 
 def irls(x: np.ndarray, y: np.ndarray, family: str, offset: np.ndarray | None = None, max_iter: int = 30, tol: float = 1e-9):
@@ -191,24 +195,39 @@ def irls(x: np.ndarray, y: np.ndarray, family: str, offset: np.ndarray | None =
     return beta, phi * invert(a), phi, ok
 
 
-def fit_by(df: DataFrame, by: str, y: str, names: Sequence[str], family: str = "quasipoisson", form: np.ndarray | None = None) -> DataFrame:
-    """(by, coef, vcov, dispersion, n, converged): a model per location; arrays in the order (intercept), names.
+def fit_by(df: DataFrame, by: str, y: str, names: Sequence[str], family: str = "quasipoisson", form: np.ndarray | None = None, *, offset: str | None = None, season: Season | None = None) -> DataFrame:
+    """(by, coef, vcov, dispersion, n, converged): a model per location, on its complete rows; arrays in the order
+    (intercept), names, season.
 
-    form: a matrix by which coefficients are multiplied, so that only what is asked for leaves the task.
+    form: a matrix by which coefficients of (intercept) and names are multiplied, so that only what is asked for leaves
+    the task. season: columns from the location's own dates. A location's rows are in one task; `grouped.fit_blocks`
+    takes any number of them.
     """
     kind = df.schema[by].dataType.simpleString()
+    numbers = [y, *names, *([offset] if offset else []), *([season.t] if season else [])]
 
     def run(pdf):
         import pandas as pd
 
-        m = pdf[[*names, y]].dropna().to_numpy(float)
-        x = np.column_stack([np.ones(len(m)), m[:, :-1]])
-        beta, v, phi, ok = irls(x, m[:, -1], family) if len(m) > x.shape[1] else (np.full(x.shape[1], np.nan), np.full((x.shape[1],) * 2, np.nan), np.nan, False)
+        m = np.column_stack([pdf[f"_{i}"].to_numpy(float) for i in range(len(numbers))])
+        fine = ~np.isnan(m).any(1)
+        years = pdf["_year"].nunique()
+        p = 1 + len(names) + (season.size(years) if season else 0)
+        if fine.sum() > p:
+            x = np.column_stack([np.ones(fine.sum()), m[fine, 1 : 1 + len(names)]])
+            if season:
+                x = np.column_stack([x, season_columns(season.knots(m[:, -1], years), m[fine, -1])])
+            beta, v, phi, ok = irls(x, m[fine, 0], family, m[fine, 1 + len(names)] if offset else None)
+        else:
+            beta, v, phi, ok = np.full(p, np.nan), np.full((p, p), np.nan), np.nan, False
         if form is not None:
-            beta, v = form @ beta, form @ v @ form.T
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "coef": [beta.tolist()], "vcov": [v.ravel().tolist()], "dispersion": [phi], "n": [len(m)], "converged": [ok]})
+            full = np.column_stack([form, np.zeros((len(form), p - form.shape[1]))])
+            beta, v = full @ beta, full @ v @ full.T
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "coef": [beta.tolist()], "vcov": [v.ravel().tolist()], "dispersion": [phi], "n": [int(fine.sum())], "converged": [ok]})
 
-    return df.select(by, y, *names).groupBy(by).applyInPandas(run, f"{by} {kind}, coef array<double>, vcov array<double>, dispersion double, n long, converged boolean")
+    year = F.year(season.date) if season else F.lit(0)
+    rows = df.select(by, *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(numbers)), year.alias("_year"))
+    return rows.groupBy(by).applyInPandas(run, f"{by} {kind}, coef array<double>, vcov array<double>, dispersion double, n long, converged boolean")
 
 
 def dow_dummies(df: DataFrame, date: str, prefix: str = "dow_") -> tuple[DataFrame, list[str]]:

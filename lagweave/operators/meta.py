@@ -10,14 +10,17 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import BasisSpec
+from ..functions.groups import joined, own_basis, own_knots, quantiles_by
+from ..functions.shared import settled
 from ..sources.tables import summary_columns
 from .crossbasis import CrossBasis
-from .glm import fit_by
-from .dlnm import reduction
+from .dlnm import fit_regions, reduction
+from .grouped import fit_locations
 from .predict import linear_form, percentile_grid
 
 
@@ -53,52 +56,141 @@ def as_matrices(s, q: int) -> np.ndarray:
     return np.stack([np.diag(v) for v in s]) if s.ndim == 2 and s.shape[1] == q and q > 1 else s.reshape(-1, q, q)
 
 
-def gls(y, s, x, psi):
-    """beta (p q), its information, and the two objective parts given psi."""
-    k, q = y.shape
-    info, right, logdet, quad = 0.0, 0.0, 0.0, 0.0
-    blocks = []
-    for i in range(k):
-        z, v = np.kron(x[i][None, :], np.eye(q)), s[i] + psi
-        inv = np.linalg.inv(v)
-        info, right = info + z.T @ inv @ z, right + z.T @ inv @ y[i]
-        logdet += np.linalg.slogdet(v)[1]
-        blocks.append((z, inv))
-    beta = np.linalg.solve(info, right)
-    for (z, inv), yi in zip(blocks, y):
-        r = yi - z @ beta
-        quad += r @ inv @ r
-    return beta, info, logdet, quad
-
-
-def bfgs(f, x, rounds: int = 300, tol: float = 1e-7):
-    """Minimum of f with central differences and backtracking: place, value, whether the gradient vanished."""
-    def gradient(x):
-        h = 1e-5 * np.maximum(1, np.abs(x))
-        return np.array([(f(x + e) - f(x - e)) / (2 * e.max()) for e in np.diag(h)])
-
-    x, g, hess = np.asarray(x, float), gradient(x), np.eye(len(x))
-    now = f(x)
+class Held:
+    """Locations in memory: y (k x q), s (k x q x q), x (k x p)."""
+
+    def __init__(self, y, s, x):
+        self.y, self.s, self.x = y, s, x
+
+    def total(self, f) -> np.ndarray:
+        return f(self.y, self.s, self.x)
+
+
+class Spread:
+    """Locations as rows (coef, vcov, x: arrays), summed up by tasks."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df.select("coef", "vcov", "x")
+
+    def total(self, f) -> np.ndarray:
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    y, s, x = arrays(b)
+                    v = f(y, s, x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v)], names=["i", "v"])
+
+        rows = self.df.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # of q and p alone
+        return np.array([r.v for r in rows])
+
+
+def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    y, s, x = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("coef", "vcov", "x"))
+    return y, s.reshape(len(y), y.shape[1], y.shape[1]), x
+
+
+def level_sums(psi: np.ndarray):
+    """Sums for the mean given psi: information, right side, log determinants, y'Wy."""
+
+    def f(y, s, x):
+        v = s + psi
+        w = np.linalg.inv(v)
+        a = np.einsum("ka,kij,kb->aibj", x, w, x)
+        wy = np.einsum("kij,kj->ki", w, y)
+        return np.concatenate([a.ravel(), (x.T @ wy).ravel(), [np.linalg.slogdet(v)[1].sum(), (y * wy).sum()]])
+
+    return f
+
+
+def spread_sums(psi: np.ndarray, beta: np.ndarray, cov: np.ndarray | None):
+    """Sums of twice the gradient of the objective by psi, and of W (x) W. cov: of beta, for REML."""
+
+    def f(y, s, x):
+        w = np.linalg.inv(s + psi)
+        e = np.einsum("kij,kj->ki", w, y - x @ beta)
+        g = w.sum(0) - e.T @ e
+        if cov is not None:
+            p, q = beta.shape
+            m = np.einsum("ka,aibj,kb->kij", x, cov.reshape(p, q, p, q), x)
+            g = g - np.einsum("kij,kjl,klm->im", w, m, w)
+        return np.concatenate([g.ravel(), np.einsum("kij,klm->iljm", w, w).ravel()])
+
+    return f
+
+
+@dataclass
+class Level:
+    """The mean given psi, and minus the log likelihood without its constant."""
+
+    beta: np.ndarray
+    info: np.ndarray
+    value: float
+
+
+def level(data, psi: np.ndarray, p: int, reml: bool) -> Level | None:
+    q = len(psi)
+    try:
+        flat = data.total(level_sums(psi))
+        info, right = flat[: (p * q) ** 2].reshape(p * q, p * q), flat[(p * q) ** 2 : -2]
+        beta = np.linalg.solve(info, right)
+    except np.linalg.LinAlgError:
+        return None
+    value = 0.5 * (flat[-2] + flat[-1] - beta @ right + (np.linalg.slogdet(info)[1] if reml else 0.0))
+    return Level(beta.reshape(p, q), info, value) if np.isfinite(value) else None
+
+
+def fit_spread(data, spread: np.ndarray, p: int, reml: bool, rounds: int = 100, tol: float = 1e-8) -> tuple[np.ndarray, Level, bool]:
+    """psi = L L' of least objective: damped Fisher scoring of L by the analytic score; a round is two passes."""
+    q = len(spread)
+    low = np.tril_indices(q)
+    root = np.diag(spread)
+    now, damp = level(data, root @ root.T, p, reml), 1e-3
     for _ in range(rounds):
-        if np.abs(g).max() < tol * (1 + abs(now)):
-            return x, now, True
-        step = -hess @ g
-        if step @ g >= 0:
-            step, hess = -g, np.eye(len(x))
-        size = 1.0
-        while size > 1e-12 and f(x + size * step) > now + 1e-4 * size * (step @ g):
-            size /= 2
-        new = x + size * step
-        after, gn = f(new), gradient(new)
-        if size <= 1e-12 or abs(now - after) < 1e-12 * (1 + abs(now)):
-            return new, after, bool(np.abs(gn).max() < 1e-3 * (1 + abs(after)))
-        d, u = new - x, gn - g
-        if d @ u > 1e-12:
-            rho = 1 / (d @ u)
-            a = np.eye(len(x)) - rho * np.outer(d, u)
-            hess = a @ hess @ a.T + rho * np.outer(d, d)
-        x, g, now = new, gn, after
-    return x, now, False
+        flat = data.total(spread_sums(root @ root.T, now.beta, np.linalg.inv(now.info) if reml else None))
+        g, ww = flat[: q * q].reshape(q, q), flat[q * q :].reshape(q * q, q * q)
+        grad = (g @ root)[low]
+        small = np.abs(grad).max() / (1 + abs(now.value))
+        if small < tol:
+            return root @ root.T, now, True
+        turns = np.zeros((q * q, len(grad)))
+        for k, (i, j) in enumerate(zip(*low)):
+            e = np.zeros((q, q))
+            e[i, j] = 1
+            turns[:, k] = (e @ root.T + root @ e.T).ravel()
+        fisher = turns.T @ (ww / 2) @ turns
+        scale = np.diag(np.maximum(np.diag(fisher), 1e-10 * max(1.0, np.diag(fisher).max())))
+        while True:
+            new = root.copy()
+            new[low] -= np.linalg.solve(fisher + damp * scale, grad)
+            after = level(data, new @ new.T, p, reml)
+            if after is not None and after.value <= now.value:
+                break
+            damp *= 10
+            if damp > 1e12:
+                return root @ root.T, now, bool(small < 1e-5)
+        gain, root, now, damp = now.value - after.value, new, after, max(damp / 10, 1e-12)
+        if gain < 1e-14 * (1 + abs(now.value)):
+            return root @ root.T, now, bool(small < 1e-3)
+    return root @ root.T, now, False
+
+
+METHODS = ("fixed", "ml", "reml")
+
+
+def fitted(data, k: int, p: int, spread: np.ndarray, method: str, x) -> MetaFit:
+    if method not in METHODS:
+        raise ValueError("method: fixed, ml or reml")
+    q, reml, converged, psi = len(spread), method == "reml", True, np.zeros((len(spread),) * 2)
+    if method == "fixed":
+        at = level(data, psi, p, reml)
+    else:
+        psi, at, converged = fit_spread(data, spread, p, reml)
+    const = (k * q - (p * q if reml else 0)) * np.log(2 * np.pi) / 2
+    return MetaFit(at.beta, np.linalg.inv(at.info), psi, -at.value - const, method, converged, x)
+
+
+def first_spread(variance) -> np.ndarray:
+    return np.sqrt(np.maximum(np.asarray(variance, float), 1e-8)) / 2
 
 
 def mvmeta(y, s, x=None, method: str = "reml") -> MetaFit:
@@ -108,31 +200,33 @@ def mvmeta(y, s, x=None, method: str = "reml") -> MetaFit:
     k, q = y.shape
     s = as_matrices(np.asarray(s, float).reshape(k, -1) if np.ndim(s) < 3 else s, q)
     x = np.ones((k, 1)) if x is None else np.asarray(x, float).reshape(k, -1)
-    if method not in ("fixed", "ml", "reml"):
-        raise ValueError("method: fixed, ml or reml")
-    low = np.tril_indices(q)
+    return fitted(Held(y, s, x), k, x.shape[1], first_spread(y.var(0)), method, x)
 
-    def psi_of(u):
-        root = np.zeros((q, q))
-        root[low] = u
-        return root @ root.T
-
-    def objective(u):
-        try:
-            _, info, logdet, quad = gls(y, s, x, psi_of(u))
-        except np.linalg.LinAlgError:
-            return 1e10
-        value = 0.5 * (logdet + quad + (np.linalg.slogdet(info)[1] if method == "reml" else 0.0))
-        return value if np.isfinite(value) else 1e10
-
-    psi, converged = np.zeros((q, q)), True
-    if method != "fixed":
-        spread = np.sqrt(np.maximum(y.var(0), 1e-8)) / 2
-        u, _, converged = bfgs(objective, np.diag(spread)[low])
-        psi = psi_of(u)
-    beta, info, logdet, quad = gls(y, s, x, psi)
-    const = (k * q - (x.shape[1] * q if method == "reml" else 0)) * np.log(2 * np.pi) / 2
-    return MetaFit(beta.reshape(x.shape[1], q), np.linalg.inv(info), psi, -0.5 * (logdet + quad + (np.linalg.slogdet(info)[1] if method == "reml" else 0.0)) - const, method, converged, x)
+
+def mvmeta_rows(df: DataFrame, method: str = "reml") -> MetaFit:
+    """The same of rows (coef, vcov, x), a location each: passes over them in Spark, however many there are.
+
+    x: an array of predictors, the constant among them. The result has no x; predictions take theirs.
+    """
+    sizes = df.agg(F.count("*").alias("k"), F.max(F.size("coef")).alias("q"), F.max(F.size("x")).alias("p")).first()
+    spread = df.select(F.posexplode("coef").alias("i", "c")).groupBy("i").agg(F.var_pop("c").alias("v")).orderBy("i").collect()  # q rows
+    return fitted(Spread(df), sizes.k, sizes.p, first_spread([r.v for r in spread]), method, None)
+
+
+def blup_rows(df: DataFrame, by: str, fit: MetaFit) -> DataFrame:
+    """(by, coef, blup, shrinkage) of rows (by, coef, vcov, x)."""
+    beta, psi = fit.beta, fit.psi
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                y, s, x = arrays(b)
+                mean = x @ beta
+                best = mean + np.einsum("ij,kjl,kl->ki", psi, np.linalg.inv(s + psi), y - mean)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(np.ascontiguousarray(v).ravel())) for v in (y, best)]
+                yield pa.RecordBatch.from_arrays([b.column(by), *lists, pa.array(np.linalg.norm(best - y, axis=1))], names=[by, "coef", "blup", "shrinkage"])
+
+    return df.select(by, "coef", "vcov", "x").mapInArrow(run, f"{by} {df.schema[by].dataType.simpleString()}, coef array<double>, blup array<double>, shrinkage double")
 
 
 def blup(fit: MetaFit, y, s) -> tuple[np.ndarray, np.ndarray]:
@@ -149,40 +243,38 @@ def blup(fit: MetaFit, y, s) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out), np.array(cov)
 
 
-def meta_inputs(reduced: DataFrame, predictors: list[str]) -> tuple:
-    """Collects (coef, vcov, predictors), a row per location."""
-    rows = reduced.collect()
-    q = len(rows[0].coef)
-    return rows, np.array([r.coef for r in rows]), np.array([r.vcov for r in rows]).reshape(-1, q, q), np.array([[1.0, *(getattr(r, p) for p in predictors)] for r in rows])
-
-
-def multi_location(w: DataFrame, by: str, x: str, y: str, cb: CrossBasis, covariates: list[str], method: str = "reml", family: str = "quasipoisson", predictors: Sequence[str] = ("avg", "range")) -> DataFrame:
+def multi_location(w: DataFrame, by: str, x: str, y: str, cb: CrossBasis, covariates: Sequence[str] = (), method: str = "reml", family: str = "quasipoisson", predictors: Sequence[str] = ("avg", "range"), *, t: str | None = None, date: str | None = None, dfseas: int | None = None, dow: bool = False, offset: str | None = None, knots_at: Sequence[float] | None = None) -> DataFrame:
     """(by, converged, coef, blup, shrinkage, mmt, pct): fits per location, reduces, pools, shrinks.
 
-    w: the series with cb's columns and covariates. predictors: of the pooled model besides a constant, of the mean
-    (avg) and range of x in a location; more locations than these need to have converged. Locations that have not
-    are returned too, with converged false and nothing else.
+    With t, w is the raw series: cross-basis, day of the week and seasonality (dfseas per year of a location's own
+    dates) are made here, and knots_at puts the exposure's knots at shares of a location's own exposures. Without t, w
+    has cb's columns and covariates. predictors: of the pooled model besides a constant, of the mean (avg) and range of
+    x in a location; more locations than these need to have converged. Locations that have not are returned too, with
+    converged false and nothing else. Nothing that grows with the locations goes through the driver.
     """
-    spark, unknown = w.sparkSession, {*predictors} - {"avg", "range"}
+    unknown = {*predictors} - {"avg", "range"}
     if unknown:
         raise ValueError(f"predictors: avg, range; not {sorted(unknown)}")
-    about = w.groupBy(by).agg(F.avg(x).alias("_avg"), (F.max(x) - F.min(x)).alias("_range"))
-    fits = fit_by(w, by, y, [*cb.names, *covariates], family, form=reduction(cb, len(covariates))).join(about, by)
-    rows = fits.orderBy(by).collect()  # q coefficients and q x q covariances of a location
-    good = [r for r in rows if r.converged]
-    if len(good) < 2:
+    knots = settled(own_knots(w, by, x, knots_at), "knots") if knots_at else None
+    if t is None:
+        fits = fit_locations(w, by, y, [*cb.names, *covariates], family, reduction(cb, len(covariates)), offset=offset)
+    else:
+        fits = fit_regions(w, cb, x, y, t, by, family=family, date=date, dfseas=dfseas, dow=dow, covariates=covariates, offset=offset, knots=knots)
+    fits = settled(fits, "fits")
+    about = w.groupBy(by).agg(F.avg(x).alias("avg"), (F.max(x) - F.min(x)).alias("range"))
+    good = joined(fits.where("converged").select(by, "coef", "vcov"), about, [by])
+    stats = good.agg(F.count("*").alias("n"), *(f(p).alias(f"{k}_{p}") for p in predictors for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    if stats.n < 2:
         raise ValueError("at least two locations are pooled")
-    q = cb.var.size
-    ys, ss = np.array([r.coef for r in good]), np.array([r.vcov for r in good]).reshape(-1, q, q)
-    meta = np.array([[1.0, *(r[f"_{p}"] for p in predictors)] for r in good])
-    meta[:, 1:] = (meta[:, 1:] - meta[:, 1:].mean(0)) / np.maximum(meta[:, 1:].std(0), 1e-9)
-    if len(good) <= meta.shape[1] or np.linalg.matrix_rank(meta) < meta.shape[1]:
-        raise ValueError(f"{len(good)} locations do not tell the effects of {len(predictors)} predictors apart")
-    fit = mvmeta(ys, ss, meta, method)
-    shrunk, _ = blup(fit, ys, ss)
-    made = spark.createDataFrame([(r[by], c.tolist(), b.tolist(), float(np.linalg.norm(b - c))) for r, c, b in zip(good, ys, shrunk)], f"{by} {w.schema[by].dataType.simpleString()}, coef array<double>, blup array<double>, shrinkage double")
-    found = made.join(location_mmt(w, by, x, cb.var, made.select(by, "blup")), by)
-    return fits.select(by, "converged").join(found, by, "left")
+    terms = [F.lit(1.0), *((F.col(p) - stats[f"m_{p}"]) / max(stats[f"s_{p}"], 1e-9) for p in predictors)]
+    good = settled(good.select(by, "coef", "vcov", F.array(*terms).alias("x")), "good")
+    size = len(terms)
+    products = good.agg(*(F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(j))) for i in range(size) for j in range(size))).first()
+    if stats.n <= size or np.linalg.matrix_rank(np.array(products).reshape(size, size)) < size:
+        raise ValueError(f"{stats.n} locations do not tell the effects of {len(predictors)} predictors apart")
+    made = settled(blup_rows(good, by, mvmeta_rows(good, method)), "blups")
+    found = joined(made, location_mmt(w, by, x, cb.var, made.select(by, "blup"), knots), [by])
+    return joined(fits.select(by, "converged"), found, [by], "left")
 
 
 def location_summary(found: DataFrame) -> DataFrame:
@@ -190,22 +282,25 @@ def location_summary(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.count_if("converged").alias("n_converged"), F.avg("shrinkage").alias("mean_shrinkage"), F.median("mmt").alias("median_mmt"), F.avg("mmt").alias("mean_mmt"), F.stddev_pop("mmt").alias("sd_mmt"))
 
 
-def location_mmt(df: DataFrame, by: str, x: str, spec: BasisSpec, coefs: DataFrame) -> DataFrame:
-    """(by, mmt, pct) from each location's own percentiles and coefficients (column blup)."""
-    at = percentile_grid(df, x, by=[by]).join(coefs, by)
-    r = F.array(*spec.columns(F.col("predvar")))
-    fit = F.aggregate(F.zip_with(r, F.col("blup"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+def location_mmt(df: DataFrame, by: str, x: str, spec: BasisSpec, coefs: DataFrame, knots: DataFrame | None = None) -> DataFrame:
+    """(by, mmt, pct) from each location's own percentiles and coefficients (column blup), and knots if it has its own."""
+    at = joined(percentile_grid(df, x, by=[by]), coefs, [by])
+    if knots is None:
+        r = F.array(*spec.columns(F.col("predvar")))
+    else:
+        names = [f"_r{i}" for i in range(spec.size)]
+        at, r = own_basis(at, by, "predvar", spec, knots, names), F.array(*names)
     best_ = F.struct("fit", "pct")
-    return at.withColumn("fit", fit).groupBy(by).agg(F.min_by("predvar", best_).alias("mmt"), F.min_by("pct", best_).alias("pct"))
+    return at.withColumn("fit", linear_form(r, F.col("blup"))).groupBy(by).agg(F.min_by("predvar", best_).alias("mmt"), F.min_by("pct", best_).alias("pct"))
 
 
 def location_report(df: DataFrame, by: str, x: str, y: str, spec: BasisSpec, coefs: DataFrame) -> DataFrame:
     """city_summary with mmt, its percentile, and the greatest risk against it on its cold and on its hot side.
 
     coefs: (by, coef), coef of spec. Risks are taken at the whole percentiles of a location's x; a location without
-    any x has NULLs, one without coefs is left out. One shuffle: the percentiles come with the other aggregates.
+    any x has NULLs, one without coefs is left out.
     """
-    about = df.groupBy(by).agg(*summary_columns(x, y), F.percentile(x, [i / 100 for i in range(1, 100)]).alias("_q"))
+    about = quantiles_by(df, [by], x, [i / 100 for i in range(1, 100)], summary_columns(x, y)).drop("n").withColumnRenamed("q", "_q")
     fit = F.transform("_q", lambda v: linear_form(F.array(*spec.columns(v)), F.col("coef")))
     got = about.join(coefs.select(by, "coef"), by).withColumn("_f", fit).withColumn("pct", F.array_position("_f", F.array_min("_f")).cast("int"))
     over = lambda part: F.exp(F.array_max(part) - F.array_min("_f"))
@@ -215,5 +310,3 @@ def location_report(df: DataFrame, by: str, x: str, y: str, spec: BasisSpec, coe
 
 def pooled_mmt(mmts: DataFrame) -> DataFrame:
     return mmts.agg(F.count("*").alias("n"), F.median("mmt").alias("median_mmt"), F.avg("mmt").alias("mean_mmt"), F.stddev_pop("mmt").alias("sd_mmt"))
-
-

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bases import BasisSpec
+from ..functions.groups import quantiles_by
 from ..functions.lags import mklag, quantiles, seqlag
 from .crossbasis import CrossBasis
 from .glm import check_model
@@ -115,11 +116,11 @@ def find_mmt(at: DataFrame, x: str, cb, coef, vcov, by: Sequence[str] = (), **kw
 
 
 def percentile_grid(df: DataFrame, x: str, lo: int = 1, hi: int = 99, by: Sequence[str] = ()) -> DataFrame:
-    """(by, pct, predvar): whole percentiles of x. Those of a group are taken in one buffer, a location's series."""
+    """(by, pct, predvar): whole percentiles of x, of all rows or per group of any size."""
     pct = [i / 100 for i in range(lo, hi + 1)]
     if not by:
         return df.sparkSession.createDataFrame(list(zip(range(lo, hi + 1), quantiles(df, x, pct))), "pct int, predvar double")
-    got = df.groupBy(*by).agg(F.percentile(x, pct).alias("q"))
+    got = quantiles_by(df, by, x, pct)
     return got.select(*by, F.posexplode("q").alias("p", "predvar")).select(*by, (F.col("p") + lo).alias("pct"), "predvar")
 
 
