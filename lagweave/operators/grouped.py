@@ -8,6 +8,7 @@ location's rows, and the driver sees a count. Locations may differ in their numb
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import groupby
 
@@ -119,7 +120,8 @@ def solved(state: DataFrame, sums: DataFrame, by: str, columns: int, family: str
         if form is not None:
             m = np.column_stack([form, np.zeros((len(form), len(beta) - form.shape[1]))])
             beta, v = m @ beta, m @ v @ m.T
-        return {"coef": beta.tolist(), "vcov": v.ravel().tolist(), "dispersion": float(phi), "converged": ok, "done": True}
+        known = lambda a: [None if math.isnan(c) else c for c in np.ravel(a).tolist()]
+        return {"coef": known(beta), "vcov": known(v), "dispersion": known(phi)[0], "converged": ok, "done": True}
 
     kind = state.schema[by].dataType.simpleString()
     return state.groupBy(by).cogroup(sums.groupBy(by)).applyInArrow(run, f"{by} {kind}, {STATE}")

@@ -103,7 +103,7 @@ def level_sums(psi: np.ndarray):
 
 
 def spread_sums(psi: np.ndarray, beta: np.ndarray, cov: np.ndarray | None):
-    """Sums of twice the gradient of the objective by psi, and of W (x) W. cov: of beta, for REML."""
+    """Sums of twice the gradient of the objective by psi, and of its expected second derivatives. cov: of beta, for REML."""
 
     def f(y, s, x):
         w = np.linalg.inv(s + psi)
@@ -113,7 +113,7 @@ def spread_sums(psi: np.ndarray, beta: np.ndarray, cov: np.ndarray | None):
             p, q = beta.shape
             m = np.einsum("ka,aibj,kb->kij", x, cov.reshape(p, q, p, q), x)
             g = g - np.einsum("kij,kjl,klm->im", w, m, w)
-        return np.concatenate([g.ravel(), np.einsum("kij,klm->iljm", w, w).ravel()])
+        return np.concatenate([g.ravel(), np.einsum("kij,klm->iljm", w, w).ravel() / 2])
 
     return f
 
@@ -139,38 +139,61 @@ def level(data, psi: np.ndarray, p: int, reml: bool) -> Level | None:
     return Level(beta.reshape(p, q), info, value) if np.isfinite(value) else None
 
 
-def fit_spread(data, spread: np.ndarray, p: int, reml: bool, rounds: int = 100, tol: float = 1e-8) -> tuple[np.ndarray, Level, bool]:
-    """psi = L L' of least objective: damped Fisher scoring of L by the analytic score; a round is two passes."""
+def fit_spread(data, spread: np.ndarray, p: int, reml: bool, rounds: int = 200, tol: float = 1e-8) -> tuple[np.ndarray, Level, bool]:
+    """psi = L L' of least objective by the analytic score of L: the first step is Fisher's, and what the score's changes
+    tell about the curvature improves the next ones (BFGS). A round is two passes over the locations, or a few more.
+    """
     q = len(spread)
     low = np.tril_indices(q)
+
+    def slope(root: np.ndarray, at: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = data.total(spread_sums(root @ root.T, at.beta, np.linalg.inv(at.info) if reml else None))
+        g = flat[: q * q].reshape(q, q)
+        return (g @ root)[low], (g + g.T) / 2, flat[q * q :].reshape(q * q, q * q)
+
+    def scoring(root: np.ndarray, g: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        """The inverse of the expected curvature by L, and of what is left of it where psi ends singular."""
+        turns = np.zeros((q * q, len(low[0])))
+        for k, (i, j) in enumerate(zip(*low)):
+            e = np.zeros((q, q))
+            e[i, j] = 1
+            turns[:, k] = (e @ root.T + root @ e.T).ravel()
+        roots, axes = np.linalg.eigh(g)
+        bend = (axes * np.maximum(roots, 0)) @ axes.T
+        curve = turns.T @ expected @ turns + bend[np.ix_(low[0], low[0])] * (low[1][:, None] == low[1])
+        return np.linalg.inv(curve + 1e-3 * np.diag(np.maximum(np.diag(curve), 1e-8 * max(1.0, np.diag(curve).max()))))
+
     root = np.diag(spread)
-    now, damp = level(data, root @ root.T, p, reml), 1e-3
+    now = level(data, root @ root.T, p, reml)
+    grad, g, expected = slope(root, now)
+    inverse, fresh = scoring(root, g, expected), True
     for _ in range(rounds):
-        flat = data.total(spread_sums(root @ root.T, now.beta, np.linalg.inv(now.info) if reml else None))
-        g, ww = flat[: q * q].reshape(q, q), flat[q * q :].reshape(q * q, q * q)
-        grad = (g @ root)[low]
         small = np.abs(grad).max() / (1 + abs(now.value))
         if small < tol:
             return root @ root.T, now, True
-        turns = np.zeros((q * q, len(grad)))
-        for k, (i, j) in enumerate(zip(*low)):
-            e = np.zeros((q, q))
-            e[i, j] = 1
-            turns[:, k] = (e @ root.T + root @ e.T).ravel()
-        fisher = turns.T @ (ww / 2) @ turns
-        scale = np.diag(np.maximum(np.diag(fisher), 1e-10 * max(1.0, np.diag(fisher).max())))
+        step, size = -inverse @ grad, 1.0
         while True:
             new = root.copy()
-            new[low] -= np.linalg.solve(fisher + damp * scale, grad)
+            new[low] += size * step
             after = level(data, new @ new.T, p, reml)
-            if after is not None and after.value <= now.value:
+            if after is not None and after.value <= now.value + 1e-4 * size * (step @ grad):
                 break
-            damp *= 10
-            if damp > 1e12:
-                return root @ root.T, now, bool(small < 1e-5)
-        gain, root, now, damp = now.value - after.value, new, after, max(damp / 10, 1e-12)
-        if gain < 1e-14 * (1 + abs(now.value)):
-            return root @ root.T, now, bool(small < 1e-3)
+            size /= 4
+            if size < 1e-9:
+                after = None
+                break
+        if after is None:
+            if fresh:
+                return root @ root.T, now, bool(small < 1e-4)
+            inverse, fresh = scoring(root, g, expected), True
+            continue
+        after_grad, g, expected = slope(new, after)
+        d, u = size * step, after_grad - grad
+        if d @ u > 1e-14:
+            rho = 1 / (d @ u)
+            a = np.eye(len(d)) - rho * np.outer(d, u)
+            inverse, fresh = a @ inverse @ a.T + rho * np.outer(d, d), False
+        root, now, grad = new, after, after_grad
     return root @ root.T, now, False
 
 
@@ -203,14 +226,23 @@ def mvmeta(y, s, x=None, method: str = "reml") -> MetaFit:
     return fitted(Held(y, s, x), k, x.shape[1], first_spread(y.var(0)), method, x)
 
 
-def mvmeta_rows(df: DataFrame, method: str = "reml") -> MetaFit:
+#: Numbers of all locations together up to which they are pooled in memory.
+SMALL = 500_000
+
+
+def mvmeta_rows(df: DataFrame, method: str = "reml", small: int = SMALL) -> MetaFit:
     """The same of rows (coef, vcov, x), a location each: passes over them in Spark, however many there are.
 
-    x: an array of predictors, the constant among them. The result has no x; predictions take theirs.
+    x: an array of predictors, the constant among them. The result has no x; predictions take theirs. Up to `small`
+    numbers in all are fetched once instead.
     """
     sizes = df.agg(F.count("*").alias("k"), F.max(F.size("coef")).alias("q"), F.max(F.size("x")).alias("p")).first()
     spread = df.select(F.posexplode("coef").alias("i", "c")).groupBy("i").agg(F.var_pop("c").alias("v")).orderBy("i").collect()  # q rows
-    return fitted(Spread(df), sizes.k, sizes.p, first_spread([r.v for r in spread]), method, None)
+    data = Spread(df)
+    if sizes.k * (sizes.q**2 + sizes.q + sizes.p) <= small:
+        rows = df.select("coef", "vcov", "x").collect()  # `small` numbers at most
+        data = Held(np.array([r.coef for r in rows]), np.array([r.vcov for r in rows]).reshape(sizes.k, sizes.q, sizes.q), np.array([r.x for r in rows]))
+    return fitted(data, sizes.k, sizes.p, first_spread([r.v for r in spread]), method, None)
 
 
 def blup_rows(df: DataFrame, by: str, fit: MetaFit) -> DataFrame:

@@ -12,8 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bases, lags
-from ..operators import attribution, dlnm, glm, meta, penalized, predict, seasonality
+from ..functions import bases, groups, lags
+from ..operators import attribution, dlnm, glm, grouped, meta, penalized, predict, seasonality
 from ..operators.crossbasis import CrossBasis
 from . import series
 
@@ -728,6 +728,32 @@ def flagship_effects(spark, sf_dir):
     return rounded(predict.crosspred(at, "predvar", m.cb.var, m.coef, m.vcov, cen=cen))
 
 
+@query(f"WITH {REGION}, q AS (SELECT r_name, quantile_cont(x, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]) AS q FROM r WHERE x IS NOT NULL GROUP BY 1) SELECT r_name, unnest(range(7)) AS i, unnest([round(v + 1e-09, 6) + 0.0 for v in q]) AS v FROM q")
+def quantiles_region(spark, sf_dir):
+    """Exact quantiles per region by cells, as for regions of any size."""
+    got = groups.quantiles_by(series.region_daily(spark, sf_dir), ["r_name"], "x", [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99], held=100)
+    return rounded(got.select("r_name", F.posexplode("q").alias("i", "v")).withColumn("i", F.col("i").cast("long")))
+
+
+@query(f"WITH {REGION}, z AS (SELECT r_name, x, y - t / 1000.0 AS y FROM r) SELECT r_name, CAST(count(x) AS BIGINT) AS n, {q6('regr_intercept(y, x)')} AS intercept, {q6('regr_slope(y, x)')} AS slope FROM z GROUP BY 1")
+def fit_blocks_offset(spark, sf_dir):
+    """A model with an offset per region, by blocks of rows, as for regions of any size."""
+    s = series.region_daily(spark, sf_dir).withColumn("o", F.col("t") / 1000.0)
+    got = grouped.fit_blocks(s, "r_name", "y", ["x"], "gaussian", offset="o", t="t")
+    return rounded(got.select("r_name", "n", F.get("coef", F.lit(0)).alias("intercept"), F.get("coef", F.lit(1)).alias("slope")))
+
+
+@query()
+def region_seasons(spark, sf_dir):
+    """Whole models per region: cross-basis with knots at the region's own exposures, day of the week, seasonality of
+    its own years; coefficients of the exposure's basis."""
+    s = series.region_daily(spark, sf_dir)
+    s = s.withColumn("x", F.coalesce("x", F.avg("x").over(Window.partitionBy("r_name"))))
+    cb = CrossBasis.fit(s, "x", 3, {"fun": "bs", "degree": 2, "df_": 4}, {"fun": "poly", "degree": 1})
+    got = dlnm.fit_dlnm(s, cb, "x", "y", "t", date="d", dfseas=2, dow=True, by="r_name", knots_at=[0.25, 0.75])
+    return rounded(got.select("r_name", "n", "converged", F.posexplode("coef").alias("i", "coef")))
+
+
 def region_design(spark, sf_dir):
     s = series.region_daily(spark, sf_dir)
     filled = s.withColumn("x", F.coalesce("x", F.avg("x").over(Window.partitionBy("r_name"))))
