@@ -99,14 +99,14 @@ def criterion(g, c, yy, n, pen, kind: str) -> tuple[float, np.ndarray, float, fl
     return value, beta, edf, rss
 
 
-def fit_penalised(df: DataFrame, y: str, cb: CrossBasis, extra: Sequence[str] = (), *, method: str = "gcv", lam: tuple[float, float] | None = None, kind: str | tuple[str, str] = "difference", order: int | tuple[int, int] = 2, family: str = "gaussian", rounds: int = 50) -> Penalised:
+def fit_penalised(df: DataFrame, y: str, cb: CrossBasis, extra: Sequence[str] = (), *, method: str = "gcv", lam: tuple[float, float] | None = None, kind: str | tuple[str, str] = "difference", order: int | tuple[int, int] = 2, family: str = "gaussian", rounds: int = 50, offset: str | None = None) -> Penalised:
     """Penalised fit of y on 1, cb's columns and extra, on complete rows; lam None: chosen by method.
 
     Other families than the Gaussian take penalised reweighted rounds; the criterion is that of the last round's
     working values. The vcov is phi A^-1 G A^-1, where phi is 1 for Poisson and binomial models.
     """
     names = ["(intercept)", *cb.names, *extra]
-    x = df.select(F.lit(1.0).alias("(intercept)"), *(F.col(k).cast("double").alias(k) for k in names[1:]), F.col(y).cast("double").alias("_y")).na.drop().cache()
+    x = df.select(F.lit(1.0).alias("(intercept)"), *(F.col(k).cast("double").alias(k) for k in names[1:]), F.col(y).cast("double").alias("_y"), (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("_o")).na.drop().cache()
     k, p, beta, converged = len(names), cb.shape[0] * cb.shape[1], None, False
 
     def whole(l1, l2):
@@ -118,8 +118,8 @@ def fit_penalised(df: DataFrame, y: str, cb: CrossBasis, extra: Sequence[str] =
         now = beta
 
         def step(m):
-            z, w, _, d = working(family, m[:, k], None if now is None else m[:, :k] @ now)
-            return m[:, :k], z, w, d
+            z, w, _, d = working(family, m[:, k], None if now is None else m[:, :k] @ now + m[:, k + 1])
+            return m[:, :k], z - m[:, k + 1], w, d
 
         g, c, n, yy, dev = _pass(x, k, step)
         got = lam
@@ -132,7 +132,7 @@ def fit_penalised(df: DataFrame, y: str, cb: CrossBasis, extra: Sequence[str] =
     x.unpersist()
     inv = invert(g + whole(*got))
     phi = rss / max(n - edf, 1e-9) if family not in ("poisson", "binomial") else 1.0
-    fit = FitResult(names, beta, phi * inv @ g @ inv, family, LINKS.get(family, "log"), phi, rss if family == "gaussian" else dev, n, int(n - edf), converged)
+    fit = FitResult(names, beta, phi * inv @ g @ inv, family, LINKS.get(family, "log"), phi, rss if family == "gaussian" else dev, n, int(n - edf), converged, offset=offset)
     return Penalised(fit, got, edf, value, rss, float(yy - c[0] ** 2 / g[0, 0]))
 
 

@@ -225,3 +225,36 @@ def test_multi_location_from_the_raw_series(spark, two, cb):
     assert np.allclose([got[g].blup for g in names], meta.blup(pooled, ys, ss)[0], atol=1e-5)
     own = meta.multi_location(df, "g", "x", "y", cb, predictors=[], t="t", knots_at=[0.3, 0.7], **OPTIONS).collect()
     assert all(x.converged and x.mmt is not None for x in own)
+
+
+def test_simulation_over_the_history(spark, two, cb):
+    from lagweave.operators import attribution
+
+    c = cb.centered(18.0)
+    w = c.series(two, "x", "t", ["g"]).join(two, ["g", "t"]).repartition(3).cache()
+    r = np.random.default_rng(1)
+    coef, root = r.normal(0, 0.01, 8), r.normal(0, 0.003, (8, 8))
+    vcov = root @ root.T
+    values, vectors = np.linalg.eigh(vcov)
+    draws = coef + np.random.default_rng(5).standard_normal((50, 8)) * np.sqrt(np.maximum(values, 0)) @ vectors.T
+    rows = [x for x in w.collect() if all(x[n] is not None for n in c.names) and x.x is not None and 10 <= x.x <= 22]
+    for by in ([], ["g"]):
+        got = {(x.g if by else None, x.sim): x.an for x in attribution.simulated_lagged(w, "x", "y", c, coef, vcov, 50, 5, (10, 22), by).collect()}
+        want = {}
+        for x in rows:
+            for s, d in enumerate(draws):
+                k = x.g if by else None, s
+                want[k] = want.get(k, 0.0) + (1 - math.exp(-sum(x[n] * v for n, v in zip(c.names, d)))) * x.y
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
+    ends = attribution.lagged_interval(w, "x", "y", c, coef, vcov, nsim=50, seed=5, range_=(10, 22), by=["g"]).collect()
+    assert len(ends) == 2 and all(e.an_low < e.an_high for e in ends)
+    assert attribution.simulated_lagged(w.where("g = 'none'"), "x", "y", c, coef, vcov, 10).count() == 0
+
+
+def test_penalised_fit_with_an_offset(two, cb):
+    from lagweave.operators import penalized
+
+    w = cb.series(two, "x", "t", ["g"]).join(two, ["g", "t"]).cache()
+    got = penalized.fit_penalised(w, "y", cb, lam=(0.0, 0.0), family="poisson", offset="o").fit
+    want = glm.fit_glm(w, "y", cb.names, "poisson", "o", tol=1e-13)
+    assert np.allclose(got.coef, want.coef, rtol=1e-4, atol=1e-6) and got.offset == "o"
