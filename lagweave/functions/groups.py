@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bases import BasisSpec
+from .shared import settled
 
 #: Rows up to which a group's values are sorted in one buffer; beyond, distinct values are spread over cells.
 HELD = 200_000
@@ -57,7 +58,7 @@ def between(low: Column, high: Column, at: Column) -> Column:
 
 def from_cells(rows: DataFrame, groups: DataFrame, gs: Sequence[str], held: int) -> DataFrame:
     """(gs, q) of quantiles_by."""
-    cells = celled(rows.groupBy(*gs, "_v").agg(F.count("*").alias("_m")), gs, held)
+    cells = settled(celled(settled(rows.groupBy(*gs, "_v").agg(F.count("*").alias("_m")), "values"), gs, held), "cells")
     totals = cells.groupBy(*gs, "_c").agg(F.sum("_m").alias("_t"))
     starts = totals.withColumn("_b", F.sum("_t").over(Window.partitionBy(*gs).orderBy("_c")) - F.col("_t"))  # a row per cell
     wanted = groups.where("n > 0").select(*gs, "n", F.posexplode("_p").alias("_i", "_q")).withColumn("_at", F.col("_q") * (F.col("n") - 1))
