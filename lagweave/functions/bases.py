@@ -35,7 +35,11 @@ class BasisSpec:
 
     def columns(self, x: Column) -> list[Column]:
         x = x.cast("double")
-        out = self.own(x) if self.fun == "own" else [F.when(x.isNotNull(), b) for b in self._terms(x, _Spark)]
+        if self.fun == "own":
+            out = self.own(x)
+        else:
+            terms = self._terms(x, _Spark)
+            out = terms if self.fun == "bs" else [F.when(x.isNotNull(), b) for b in terms]  # B-splines of NULL are NULL
         if self.cen is not None:
             at = self._raw(np.array([self.cen]))[0]
             out = [b - F.lit(float(a)) for b, a in zip(out, at)]
@@ -92,42 +96,45 @@ class BasisSpec:
         d = [(m.power(m.positive(u - k), 3) - m.power(m.positive(u - last), 3)) / (last - k) for k in knots[:-1]]
         return [u, *(dk - d[-1] for dk in d[:-1])]
 
-    def _b_spline(self, x, m):
-        """Clamped B-splines by the recursion of de Boor; beyond the bounds they go on along the boundary tangent."""
+    def _pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors (pieces) and coefficients (pieces, splines, powers) of clamped B-splines in powers of x - anchor.
+
+        De Boor's recursion runs once per interval between knots, on polynomials in place of numbers. The first and
+        last piece lie beyond the bounds and go on along the boundary tangents; piece k > 0 starts at its anchor.
+        """
         lo, hi = self.bounds
         hi = hi if hi > lo else lo + 1.0  # of a constant
         p = self.degree
-        t = [lo] * (p + 1) + list(self.knots) + [hi] * (p + 1)
-        u = m.clip(x, lo, hi)
-
-        def level(q):
-            """B-splines of degree q on the knot vector t, at u; the last interval is closed."""
-            n = len(t) - 1
-            last = max(i for i in range(n) if t[i] < t[i + 1])
-            b = [m.where(m.ge(u, t[i]) & (m.le(u, t[i + 1]) if i == last else m.lt(u, t[i + 1])), 1.0, 0.0) if t[i] < t[i + 1] else None for i in range(n)]
-            for k in range(1, q + 1):
-                new = []
-                for i in range(n - k):
-                    left = (u - t[i]) / (t[i + k] - t[i]) * b[i] if b[i] is not None and t[i + k] > t[i] else None
-                    right = (t[i + k + 1] - u) / (t[i + k + 1] - t[i + 1]) * b[i + 1] if b[i + 1] is not None and t[i + k + 1] > t[i + 1] else None
-                    new.append(left if right is None else right if left is None else left + right)
-                b = new
-            return b
-
-        zero = m.const(0.0, x)
-        value, lower = level(p), level(p - 1) if p else []
+        t = np.array([lo] * (p + 1) + list(self.knots) + [hi] * (p + 1), float)
+        edges = np.unique(np.clip(t, lo, hi))
+        inner = []
+        for start, end in zip(edges, edges[1:]):
+            mid = (start + end) / 2
+            b = [np.eye(1, p + 1)[0] * (t[i] <= mid < t[i + 1]) for i in range(len(t) - 1)]
+            for k in range(1, p + 1):
+                up = lambda q: np.concatenate([[0.0], q[:-1]])  # noqa: E731  times x - start
+                rise = lambda i: (up(b[i]) + (start - t[i]) * b[i]) / (t[i + k] - t[i]) if t[i + k] > t[i] else 0.0 * b[i]  # noqa: E731, B023
+                fall = lambda i: ((t[i + k + 1] - start) * b[i + 1] - up(b[i + 1])) / (t[i + k + 1] - t[i + 1]) if t[i + k + 1] > t[i + 1] else 0.0 * b[i]  # noqa: E731, B023
+                b = [rise(i) + fall(i) for i in range(len(b) - 1)]
+            inner.append(np.array(b))
+        powers = (edges[-1] - edges[-2]) ** np.arange(p + 1)
+        tangent = np.zeros((2, *inner[0].shape))
+        tangent[0, :, :2], tangent[1, :, 0] = inner[0][:, :2], inner[-1] @ powers
+        if p:
+            tangent[1, :, 1] = inner[-1][:, 1:] @ (np.arange(1, p + 1) * powers[:-1])
+        return np.array([lo, *edges]), np.array([tangent[0], *inner, tangent[1]])
+
+    def _b_spline(self, x, m):
+        """The piece that x lies in, and its polynomial there; the same few operations however many knots."""
+        anchors, pieces = self._pieces()
+        k = m.piece(x, anchors[1:])
+        d = x - m.pick(anchors, k)
         out = []
-        for i, v in enumerate(value):
-            v = zero if v is None else v
-            if p:
-                slope = None
-                for j, sign in ((i, 1.0), (i + 1, -1.0)):
-                    if lower[j] is not None and t[j + p] > t[j]:
-                        term = lower[j] * (sign * p / (t[j + p] - t[j]))
-                        slope = term if slope is None else slope + term
-                if slope is not None:
-                    v = v + slope * (x - u)  # 0 inside
-            out.append(v)
+        for spline in np.moveaxis(pieces, 1, 0):
+            value = m.pick(spline[:, -1], k)
+            for power in range(self.degree - 1, -1, -1):
+                value = value * d + m.pick(spline[:, power], k)
+            out.append(value)
         return out if self.intercept else out[1:]
 
     @property
@@ -141,15 +148,20 @@ class BasisSpec:
         return [f"{prefix}{i}" for i in range(1, self.size + 1)]
 
 
+def literals(values) -> Column:
+    """An array of doubles as one literal, whatever its length."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 class _Spark:
     const = staticmethod(lambda v, x: F.lit(v))
     power = staticmethod(lambda x, d: F.pow(x, F.lit(float(d))))
     where = staticmethod(lambda c, a, b: F.when(c, F.lit(a)).otherwise(F.lit(b)))
     positive = staticmethod(lambda x: F.greatest(x, F.lit(0.0)))
-    clip = staticmethod(lambda x, lo, hi: F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
+    piece = staticmethod(lambda x, edges: sum(((x >= F.lit(float(e))).cast("int") for e in edges), F.lit(0)))
+    pick = staticmethod(lambda values, k: F.get(literals(values), k))
     ge = staticmethod(lambda x, k: F.lit(True) if np.isneginf(k) else x >= F.lit(float(k)))
     lt = staticmethod(lambda x, k: F.lit(True) if np.isposinf(k) else x < F.lit(float(k)))
-    le = staticmethod(lambda x, k: x <= F.lit(float(k)))
 
 
 class _Numpy:
@@ -157,10 +169,10 @@ class _Numpy:
     power = staticmethod(lambda x, d: x**d)
     where = staticmethod(np.where)
     positive = staticmethod(lambda x: np.maximum(x, 0.0))
-    clip = staticmethod(np.clip)
+    piece = staticmethod(lambda x, edges: np.searchsorted(edges, x, side="right"))
+    pick = staticmethod(lambda values, k: np.asarray(values)[k])
     ge = staticmethod(lambda x, k: x >= k)
     lt = staticmethod(lambda x, k: x < k)
-    le = staticmethod(lambda x, k: x <= k)
 
 
 def fit_basis(df: DataFrame, x: str, fun: str = "ns", *, df_: int | None = None, degree: int | None = None, knots=None, bounds=None, scale: float | None = None, breaks=None, thr=None, side: str = "h", ref: int = 1, intercept: bool = False, cen: float | None = None, own=None, own_numpy=None) -> BasisSpec:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bases import BasisSpec, fit_basis, lag_basis
+from ..functions.bases import BasisSpec, fit_basis, lag_basis, literals
 from ..functions.lags import mklag
 
 
@@ -71,10 +71,11 @@ class CrossBasis:
         c = self.lag_matrix()
         v, n = self.shape
         length = self.lag[1] - self.lag[0] + 1
-        values = [[b for b in self.var.columns(F.get(F.col(history), k))] for k in range(length)]
-        total = lambda i, j: sum((values[k][i] * float(c[k, j]) for k in range(1, length)), values[0][i] * float(c[0, j]))
-        ok = F.size(history) == length
-        return df.select("*", *(F.when(ok, total(i, j)).alias(f"v{i + 1}_l{j + 1}") for i in range(v) for j in range(n)))
+        held = "_" + max(df.columns, key=len)  # the exposure's basis at each lag, evaluated once
+        basis = F.transform(F.col(history), lambda h: F.array(*self.var.columns(h)))
+        rows = df.select("*", F.when(F.size(history) == length, basis).alias(held))
+        total = lambda i, j: F.aggregate(F.zip_with(held, literals(c[:, j]), lambda r, a: F.get(r, F.lit(i)) * a), F.lit(0.0), lambda s, w: s + w)
+        return rows.select(*df.columns, *(total(i, j).alias(f"v{i + 1}_l{j + 1}") for i in range(v) for j in range(n)))
 
     def reduce_to(self, rows: np.ndarray) -> np.ndarray:
         """M that takes the coefficients to those of the exposure's basis at a weight per lag basis column (v x v l)."""

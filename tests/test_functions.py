@@ -121,3 +121,49 @@ def test_quantiles_beyond_one_buffer(spark, monkeypatch):
             assert np.allclose(lags.quantiles(df, "x", probs), np.quantile(values, probs), rtol=1e-12, atol=1e-12)
         assert np.allclose(whole, np.quantile(values, probs), rtol=1e-12, atol=1e-12)
     assert lags.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == []
+
+
+def recursion(x, t, p):
+    """B-splines at one x inside the bounds, by the definition."""
+    last = max(i for i in range(len(t) - 1) if t[i] < t[i + 1])
+    b = [float(t[i] <= x < t[i + 1] or (i == last and x == t[i + 1])) for i in range(len(t) - 1)]
+    for k in range(1, p + 1):
+        share = lambda i: (x - t[i]) / (t[i + k] - t[i]) if t[i + k] > t[i] else 0.0  # noqa: E731, B023
+        b = [share(i) * b[i] + (1 - share(i + 1)) * b[i + 1] * (t[i + k + 1] > t[i + 1]) for i in range(len(b) - 1)]
+    return b
+
+
+@pytest.mark.parametrize("degree", [0, 2, 3])
+@pytest.mark.parametrize("knots", [(3.0,), (2.0, 5.0, 5.0, 7.0), (0.0, 4.0), tuple(np.linspace(0.4, 9.6, 30))])
+def test_splines_by_pieces(spark, degree, knots):
+    spec = bases.BasisSpec("bs", degree, knots, (0.0, 10.0), intercept=True)
+    x = np.concatenate([np.linspace(0, 10, 41), knots])
+    want = np.array([recursion(a, [0.0] * (degree + 1) + list(knots) + [10.0] * (degree + 1), degree) for a in x])
+    assert np.allclose(spec.numpy(x), want, atol=1e-10)
+    h = 1e-5  # beyond the bounds: the tangent
+    for end, away in ((0.0, -3.0), (10.0, 4.0)):
+        inner = spec.numpy([end, end + h, end + 2 * h] if end == 0 else [end, end - h, end - 2 * h])
+        slope = (-3 * inner[0] + 4 * inner[1] - inner[2]) / (2 * h) * (1 if end == 0 else -1)
+        assert np.allclose(spec.numpy([end + away])[0], inner[0] + away * slope, atol=1e-4 * max(1, np.abs(slope).max()))
+    rows = spark.createDataFrame([(float(a),) for a in x] + [(None,), (-3.0,), (14.0,)], "x double")
+    got = [r.b for r in rows.select("x", F.array(*spec.columns(F.col("x"))).alias("b")).orderBy("x").collect()]
+    assert all(v is None for v in got[0])
+    assert np.allclose(np.array(got[1:]), spec.numpy(np.sort(np.append(x, [-3.0, 14.0]))), atol=1e-12)
+
+
+def test_wide_histories(spark):
+    """120 lags and 12 splines: code within the limits of generation, NULL for short histories and NULL inside."""
+    from lagweave.operators.crossbasis import CrossBasis
+
+    r = np.random.default_rng(3)
+    h = r.uniform(0, 10, (6, 120))
+    rows = [(i, [float(a) for a in row], i) for i, row in enumerate(h)] + [(6, [1.0] * 119, 6), (7, [1.0] * 119 + [None], 7), (8, None, 8)]
+    df = spark.createDataFrame(rows, "id int, h array<double>, extra int")
+    cb = CrossBasis(bases.BasisSpec("bs", 3, tuple(np.linspace(1, 9, 9)), (0.0, 10.0)), bases.lag_basis((0, 119), "ns", knots=[5.0, 30.0]), (0, 119))
+    out = cb.matrix(df, "h")
+    assert out.columns == [*df.columns, *cb.names]
+    got = {q.id: [q[n] for n in cb.names] for q in out.collect()}
+    c = cb.lag_matrix()
+    for i, row in enumerate(h):
+        assert np.allclose(got[i], (cb.var.numpy(row).T @ c).ravel(), atol=1e-9)
+    assert all(v is None for i in (6, 7, 8) for v in got[i])
