@@ -183,11 +183,11 @@ def irls(x: np.ndarray, y: np.ndarray, family: str, offset: np.ndarray | None =
     beta, dev, ok = None, np.inf, False
     for _ in range(max_iter):
         z, w, mu, d = working(family, y, None if beta is None else x @ beta + o)
-        if beta is not None and abs(dev - d.sum()) <= tol * (abs(d.sum()) + 0.1):
-            ok = True
-            break
+        ok = bool(beta is not None and abs(dev - d.sum()) <= tol * (abs(d.sum()) + 0.1))
         dev = d.sum()
-        beta = solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ (z - o))
+        beta = solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ (z - o))  # once more where the deviance has settled
+        if ok:
+            break
     a = (x * w[:, None]).T @ x
     s = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
     free = len(y) - int(np.linalg.matrix_rank(a * np.outer(s, s)))

@@ -107,13 +107,14 @@ def solved(state: DataFrame, sums: DataFrame, by: str, columns: int, family: str
             g = np.zeros((p, p))
             g[np.triu_indices(p)] = flat[: p * (p + 1) // 2]
             g = np.triu(g) + np.triu(g, 1).T
+            beta = solve(g, flat[p * (p + 1) // 2 : -3])  # once more where the deviance has settled
             if old["beta"] is not None and abs(old["dev"] - dev) <= tol * (abs(dev) + 0.1):
                 s = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
                 free = n - int(np.linalg.matrix_rank(g * np.outer(s, s)))
                 phi = pearson / max(1, free) if family in ("gaussian", "quasipoisson", "gamma") else 1.0
-                new |= result(np.array(old["beta"]), phi * invert(g), phi, True)
+                new |= result(beta, phi * invert(g), phi, True)
             else:
-                new["beta"] = solve(g, flat[p * (p + 1) // 2 : -3]).tolist()
+                new["beta"] = beta.tolist()
         return pa.table({by: left.column(by), **{c: pa.array([new[c]], left.schema.field(c).type) for c in names}})
 
     def result(beta, v, phi, ok) -> dict:

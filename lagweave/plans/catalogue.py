@@ -728,6 +728,72 @@ def flagship_effects(spark, sf_dir):
     return rounded(predict.crosspred(at, "predvar", m.cb.var, m.coef, m.vcov, cen=cen))
 
 
+def irls_sql(keys: list[str], cols: list[str], source: str, rounds: int = 7) -> str:
+    """CTEs up to `fit` (keys, n, b, a, phi): quasi-Poisson models of y on cols by matrix reweighting, one per key.
+
+    A round sums [X'WX | X'Wz | 1] as a list of rows and eliminates column by column; b is then the middle column and a
+    the right part, the inverse. Rounds are written out: the start, then `rounds` of Newton's.
+    """
+    p = len(cols)
+    key = "".join(f"{k}, " for k in keys)
+    using = f"JOIN {{}} USING ({', '.join(keys)})" if keys else "CROSS JOIN {}"
+
+    def solved(source: str) -> str:
+        cell = lambda i, j: f"sum(w * xs[{min(i, j)}] * xs[{max(i, j)}])"
+        rows = ", ".join("[" + ", ".join([*(cell(i, j) for j in range(1, p + 1)), f"sum(w * xs[{i}] * z)", *(f"{float(i == j)!r}::DOUBLE" for j in range(1, p + 1))]) + "]" for i in range(1, p + 1))
+        out = f"SELECT {key}count(*) AS n, [{rows}] AS m FROM {source}{f' GROUP BY ALL' if keys else ''}"
+        for k in range(1, p + 1):
+            row = f"CASE WHEN i = {k} THEN list_transform(m[{k}], lambda v: v / m[{k}][{k}]) ELSE list_transform(range(1, {2 * p + 2}), lambda j: m[i][j] - m[i][{k}] / m[{k}][{k}] * m[{k}][j]) END"
+            out = f"SELECT {key}n, list_transform(range(1, {p + 1}), lambda i: {row}) AS m FROM ({out})"
+        return f"SELECT {key}n, list_transform(m, lambda r: r[{p + 1}]) AS b, list_transform(m, lambda r: r[{p + 2}:]) AS a FROM ({out})"
+
+    ctes = [f"d AS MATERIALIZED (SELECT {key}CAST(y AS DOUBLE) AS y, CAST([{', '.join(cols)}] AS DOUBLE[]) AS xs FROM {source})"]
+    ctes.append(f"b0 AS MATERIALIZED ({solved(f'(SELECT {key}xs, y + 0.1 AS w, ln(y + 0.1) - 0.1 / (y + 0.1) AS z FROM d)')})")
+    for i in range(rounds):
+        step = f"SELECT {key}xs, exp(e) AS w, e + (y - exp(e)) / exp(e) AS z FROM (SELECT {key}xs, y, list_dot_product(xs, b) AS e FROM d {using.format(f'b{i}')})"
+        ctes.append(f"b{i + 1} AS MATERIALIZED ({solved(f'({step})')})")
+    phi = f"SELECT {key}sum((y - e) ** 2 / e) / (count(*) - {p}) AS phi FROM (SELECT {key}y, exp(list_dot_product(xs, b)) AS e FROM d {using.format(f'b{rounds}')}){' GROUP BY ALL' if keys else ''}"
+    return ", ".join([*ctes, f"fit AS (SELECT {key}n, b, a, phi FROM b{rounds} {using.format(f'({phi}) AS p')})"])
+
+
+DAYS = ("Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
+def small_flagship_sql() -> str:
+    """Any basis of the same curves gives the same risks: the season's spline is written with truncated powers here."""
+    r = de_boor("x", ["lo"] * 3 + ["k10", "k75", "k90"] + ["hi"] * 3, 2)[1:]
+    lagged = ", ".join(f"sum(b.r{i}{w}) AS w{i}_{j}" for i in range(len(r)) for j, w in enumerate(("", " * (a.t - b.t) / 21.0")))
+    # The percentiles of the days from the first to the last are at equal distances.
+    season = lambda n: natural("u", [f"{i / n!r}" for i in range(n)] + ["1.0"])
+    days = [f"CAST(dayname(DATE '1995-01-01' + t) = '{d}' AS DOUBLE)" for d in DAYS]
+    cols = ["1.0", *(f"w{i}_{j}" for i in range(len(r)) for j in range(2)), *days, *season(7)]
+    form = lambda i: f"(r[{i // 2 + 1}] - c[{i // 2 + 1}]) * {'22.0' if i % 2 == 0 else '11.0'}"
+    terms = range(2 * len(r))
+    fit, var = " + ".join(f"m[{i + 1}] * b[{i + 2}]" for i in terms), " + ".join(f"m[{i + 1}] * m[{j + 1}] * a[{i + 2}][{j + 2}]" for i in terms for j in terms)
+    return (
+        f"WITH {SHIP}, {KNOTS}, g AS (SELECT t, y, x, {', '.join(f'{e} AS r{i}' for i, e in enumerate(r))} FROM s, k WHERE x IS NOT NULL), "
+        f"w0 AS (SELECT a.t, a.y, {lagged} FROM g a JOIN g b ON b.t BETWEEN a.t - 21 AND a.t GROUP BY ALL HAVING count(*) = 22), "
+        "w AS (SELECT w0.*, (w0.t - lo) / CAST(hi - lo AS DOUBLE) AS u FROM w0, (SELECT min(t) AS lo, max(t) AS hi FROM s)), "
+        f"{irls_sql([], cols, 'w')}, {PCT.replace('g AS', 'g1 AS', 1)}, "
+        f"h AS (SELECT pct, p, [{', '.join(r)}] AS r FROM (SELECT pct, p, p AS x FROM g1), k), "
+        f"c AS (SELECT [{', '.join(r)}] AS c FROM (SELECT quantile_cont(x, 0.5) AS x FROM s), k), "
+        f"q AS (SELECT pct, p, [{', '.join(map(form, terms))}] AS m FROM h, c), "
+        f"e AS (SELECT pct, p, {fit} AS fit, sqrt(greatest(phi * ({var}), 0)) AS se FROM q, fit) "
+        f"SELECT {interval_sql('CAST(pct AS INTEGER) AS pct, ' + q6('p') + ' AS predvar')} FROM e"
+    )
+
+
+@query(small_flagship_sql())
+def flagship_yearly(spark, sf_dir):
+    """The flagship with two lag terms and a degree of freedom per year, small enough for SQL: overall risks."""
+    s = series.ship_daily(spark, sf_dir).cache()
+    cb = CrossBasis.fit(s, "x", 21, {"fun": "bs", "degree": 2, "knots": lags.quantiles(s, "x", [0.1, 0.75, 0.9])}, {"fun": "poly", "degree": 1})
+    m = dlnm.fit_dlnm(s, cb, "x", "y", "t", date="d", dfseas=1, dow=True)
+    at, cen = predict.percentile_grid(s, "x"), predict.center_value(s, "x", "median")
+    s.unpersist()
+    return rounded(predict.crosspred(at, "predvar", m.cb.var, m.coef, m.vcov, cen=cen))
+
+
 @query(f"WITH {REGION}, q AS (SELECT r_name, quantile_cont(x, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]) AS q FROM r WHERE x IS NOT NULL GROUP BY 1) SELECT r_name, unnest(range(7)) AS i, unnest([round(v + 1e-09, 6) + 0.0 for v in q]) AS v FROM q")
 def quantiles_region(spark, sf_dir):
     """Exact quantiles per region by cells, as for regions of any size."""
@@ -762,7 +828,20 @@ def region_design(spark, sf_dir):
     return cb, w
 
 
-@query()
+def region_model_sql() -> str:
+    r = natural(scaled("x"), ["0.0", scaled("k1"), scaled("k2"), "1.0"])
+    lagged = ", ".join(f"sum(b.r{i}{w}) AS w{i}_{j}" for i in range(len(r)) for j, w in enumerate(("", " * (a.t - b.t) / 3.0")))
+    return (
+        f"WITH {REGION}, f AS (SELECT r_name, t, y, coalesce(x, avg(x) OVER (PARTITION BY r_name)) AS x FROM r), "
+        "k AS (SELECT quantile_cont(x, 1.0 / 3) AS k1, quantile_cont(x, 2.0 / 3) AS k2, min(x) AS lo, max(x) AS hi FROM f), "
+        f"g AS (SELECT r_name, t, y, {', '.join(f'{e} AS r{i}' for i, e in enumerate(r))} FROM f, k), "
+        f"w AS (SELECT a.r_name, a.t, a.y, {lagged} FROM g a JOIN g b ON a.r_name = b.r_name AND b.t BETWEEN a.t - 3 AND a.t GROUP BY ALL HAVING count(b.r0) = 4), "
+        f"{irls_sql(['r_name'], ['1.0', *(f'w{i}_{j}' for i in range(len(r)) for j in range(2))], 'w')} "
+        f"SELECT r_name, CAST(i - 1 AS INTEGER) AS i, {q6('b[i]')} AS coef, n, true AS converged FROM fit, (SELECT unnest(range(1, {2 * len(r) + 2})) AS i)"
+    )
+
+
+@query(region_model_sql())
 def fit_by_region(spark, sf_dir):
     cb, w = region_design(spark, sf_dir)
     got = glm.fit_by(w, "r_name", "y", cb.names)
