@@ -45,7 +45,7 @@ def test_pipeline(spark, sf_dir):
     want = {d: len(tok.encode(t, add_special_tokens=False).ids) for d, t in left}
     got = {r.doc_id: r.n_tokens for r in p.run(spark, sf_dir).collect()}
     assert got == want and 0 < len(got) < docs.count()
-    assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "bpe"]
+    assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "bpe"]
 
 
 def test_pipeline_stages_take_odd_rows(spark, odd, none, sf_dir):
