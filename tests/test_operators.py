@@ -42,6 +42,22 @@ def test_cross_basis_against_loops(daily, lag):
     assert np.allclose(mine, want, equal_nan=True) and np.isnan(want).any() == (lag != (9, 9))
 
 
+@pytest.mark.parametrize("lag", [(0, 4), (2, 5), (-2, 1), (0, 0), (3, 3)])
+@pytest.mark.parametrize("na", ["null", "zero"])
+def test_cross_basis_by_range_frames_equals_the_spread_one(spark, monkeypatch, lag, na):
+    """Blocks of few lags, gaps in time, unknown exposures, times below 0, and a group of one row."""
+    from lagweave.operators import crossbasis
+
+    monkeypatch.setattr(crossbasis, "BLOCK_LAGS", 2)
+    rows = [("a", t, float(t % 17) if t % 23 else None) for t in range(-40, 90) if t % 31] + [("b", 3, 1.0), (None, 1, 2.0), (None, 2, 5.0)]
+    df = spark.createDataFrame(rows, "g string, t int, x double")
+    cb = CrossBasis.fit(df, "x", lag, {"fun": "bs", "degree": 2, "df_": 4}, {"fun": "poly", "degree": 1})
+    a, b = (sorted(map(tuple, cb.series(df, "x", "t", ["g"], na=na, frame=f).collect()), key=lambda r: (r[0] or "", r[1])) for f in (False, True))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) == len(rows)
+    mine, want = (np.array([[np.nan if v is None else v for v in r[2:]] for r in z], float) for z in (a, b))
+    assert np.allclose(mine, want, equal_nan=True, atol=1e-12) and not np.isnan(want).all()
+
+
 def test_cross_basis_shapes_and_groups(spark):
     df = spark.createDataFrame([("a", t, float(t + 1)) for t in range(5)] + [("b", 0, 9.0)], "g string, t int, x double")
     cb = CrossBasis.fit(df, "x", 2, {"fun": "poly", "degree": 2}, {"fun": "poly", "degree": 1})
