@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import bases, groups, lags
 from ..operators import attribution, dlnm, glm, grouped, meta, penalized, predict, seasonality
 from ..operators.crossbasis import CrossBasis
+from ..operators.curvefit import rebuild
 from . import series
 
 QUERIES: dict = {}
@@ -223,6 +224,21 @@ def crossbasis_group(spark, sf_dir):
     return rounded(CrossBasis.fit(s, "x", 3, {"fun": "lin"}, {"fun": "poly", "degree": 1}).series(s, "x", "t", ["r_name"]))
 
 
+@query(cross_sql(REGION, "r", ["x"], [[1.0, k / 21] for k in range(22)], by="r_name", where=""))
+def crossbasis_frame(spark, sf_dir):
+    """Lags 0 to 21 per region, gathered by range frames."""
+    s = series.region_daily(spark, sf_dir)
+    return rounded(CrossBasis.fit(s, "x", 21, {"fun": "lin"}, {"fun": "poly", "degree": 1}).series(s, "x", "t", ["r_name"], frame=True))
+
+
+@query(f"WITH {REGION} SELECT r_name, t, {q6("x")} AS x, {q6("pow(x / 100, 2)")} AS fit FROM r WHERE x IS NOT NULL")
+def curve_rebuild(spark, sf_dir):
+    """A parabola of each region's exposures, which is a spline on any knots, rebuilt on the region's own quantiles."""
+    s = series.region_daily(spark, sf_dir).where("x is not null").select("r_name", "t", "x")
+    knots = groups.own_knots(s, "r_name", "x", [0.1, 0.75, 0.9])
+    return rounded(rebuild(s.withColumn("y", F.pow(F.col("x") / 100, 2)), s, "r_name", "x", "y", knots, 3))
+
+
 @query(
     "SELECT vec_id, " + q6(" + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(64))) + " AS v1_l1, " + q6(" + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) * {k / 63!r}" for k in range(64))) + " AS v1_l2 FROM embeddings"
 )
