@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, materialize, with_row_id
+from .common import ALNUM, fresh, materialize, with_row_id
 
 #: Words a shared window has, and words of a k-gram.
 SPAN, K = 10, 5
@@ -206,5 +206,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -
     """
     key = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.octet_length("text"), F.lit(0))]
     keyed = docs.select(F.struct(*(k.alias(n) for k, n in zip(key, ("id", "h", "n")))).alias("doc_id"), "text")
-    bad = decontaminate(keyed, benchmark, span).where("n_hit > 0").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.h").alias("__h"), F.col("doc_id.n").alias("__n")).distinct()
-    return docs.join(bad, key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__h")) & (key[2] == F.col("__n")), "left_anti").select(docs.columns)
+    i, h, n = fresh(docs, "__id", "__h", "__n")
+    bad = decontaminate(keyed, benchmark, span).where("n_hit > 0").select(*(F.col(f"doc_id.{k}").alias(c) for k, c in zip(("id", "h", "n"), (i, h, n)))).distinct()
+    return docs.join(bad, key[0].eqNullSafe(F.col(i)) & (key[1] == F.col(h)) & (key[2] == F.col(n)), "left_anti").select(docs.columns)

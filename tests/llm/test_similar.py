@@ -79,3 +79,41 @@ def test_bitmaps_never_part_similar_sets():
             x, y = (similar.parity(np.array(sorted(s), np.uint64)) for s in (a, b))
             differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
             assert differ <= len(a ^ b)
+
+
+def test_fingerprints_are_simhash():
+    """Their first word by the plain definition, over distinct five-word shingles."""
+    import xxhash
+
+    r = random.Random(7)
+    for n in (1, 4, 5, 9, 700):
+        w = [r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(n)]
+        h = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, n - 4))}
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert int(similar.fingerprint(similar.shingles(" ".join(w).encode()))[0]) % (1 << 64) == want
+
+
+def test_pairs_at_the_least_similarity_share_a_bucket():
+    """Of pairs at exactly 0.8, whose fingerprints are far more than op4's 3 bits apart, hardly one shares no bucket, and
+    small ones always share a first shingle."""
+    import numpy as np
+
+    r = np.random.default_rng(11)
+    for count in (200, 50_000):
+        rows = similar.tables(count)
+        word, mask = np.array([w for _, w, _ in rows]), np.array([m for *_, m in rows])
+        lost = 0
+        for _ in range(1500):
+            h = r.integers(0, 1 << 63, 100, dtype=np.uint64)
+            a, b = (similar.fingerprint(np.sort(x)) for x in (h[:90], h[10:]))
+            x = a ^ b
+            assert 3 < int(np.bitwise_count(x.view(np.uint64)).sum()) <= similar.REACH
+            meets = (x[word] & mask) == 0
+            close = np.bitwise_count(x[(word + similar.WORDS // 2) % similar.WORDS].view(np.uint64)) <= similar.CLOSE
+            lost += not (meets & close).any()
+        assert lost <= 2
+    for n in range(5, similar.TINY + 1):
+        for _ in range(50):
+            h = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            a, b = np.sort(h), np.sort(h[: -(-4 * n // 5)])
+            assert {*similar.first_shingles(a).tolist()} & {*similar.first_shingles(b).tolist()}
