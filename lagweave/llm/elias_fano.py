@@ -47,14 +47,45 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"low": packed(values & U((1 << width) - 1) if width else values, width), "high": high, "ones": ones, "shape": np.array([n, width], "<i8")}
 
 
+def repeated(byte: int) -> np.uint64:
+    return U(byte * 0x0101010101010101)
+
+
+#: SELECT[byte, k]: the place of a byte's k-th bit that is 1.
+SELECT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], U)
+
+
+def select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of each word's k-th (from 0) bit that is 1; it has so many."""
+    n = word - ((word >> ONE) & repeated(0x55))
+    n = (n & repeated(0x33)) + ((n >> U(2)) & repeated(0x33))
+    n = ((n + (n >> U(4))) & repeated(0x0F)) * repeated(1)  # in each byte the ones up to its end
+    k = k.astype(U)
+    at = np.bitwise_count((((k * repeated(1)) | repeated(0x80)) - n) & repeated(0x80)).astype(U) << U(3)
+    rest = k - (((n << U(8)) >> at) & U(255))
+    return (at + SELECT[((word >> at) & U(255)).astype(np.int64), rest.astype(np.int64)]).astype(np.int64)
+
+
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.low, self.high, self.ones = arrays["low"], arrays["high"], arrays["ones"]
         self.n, self.width = map(int, arrays["shape"])
         self.zeros = np.arange(len(self.ones)) * 512 - self.ones
+        self.before: dict[bool, np.ndarray] = {}  # ones or zeros before each word, where they were counted
+
+    def _words_before(self, one: bool) -> np.ndarray:
+        if one not in self.before:
+            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)])
+            self.before = {True: ones, False: np.arange(len(ones)) * 64 - ones}
+        return self.before[one]
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of the k-th (from 0) bit that is 1, or 0."""
+        if isinstance(self.high, np.ndarray) and (self.before or 8 * len(k) >= len(self.high)):
+            before = self._words_before(one)  # many places of an array at hand: its words are counted once
+            j = np.searchsorted(before, k, "right") - 1
+            word = self.high[j]
+            return j * 64 + select_in_word(word if one else ~word, k - before[j])
         block = np.searchsorted(self.ones if one else self.zeros, k, "right") - 1
         rest = k - (self.ones if one else self.zeros)[block]
         words = self.high[block[:, None] * 8 + np.arange(8)]
@@ -63,12 +94,15 @@ class EliasFano:
         j = (upto <= rest[:, None]).sum(1)
         row = np.arange(len(k))
         rest = rest - np.where(j > 0, upto[row, j - 1], 0)
-        word, at = words[row, j], np.zeros(len(k), U)
-        for half in (32, 16, 8, 4, 2, 1):  # halve the word that holds the bit
-            c = np.bitwise_count((word >> at) & U((1 << half) - 1)).astype(np.int64)
-            on = c <= rest
-            rest, at = rest - np.where(on, c, 0), at + np.where(on, U(half), U(0))
-        return block * 512 + j * 64 + at.astype(np.int64)
+        return block * 512 + j * 64 + select_in_word(words[row, j], rest)
+
+    def _next_zero(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th bit that is 0, the first one from place at."""
+        left = ~self.high[at >> 6] >> (at & 63).astype(U)
+        out = at + np.bitwise_count((left & (~left + ONE)) - ONE)
+        far = np.flatnonzero(left == 0)
+        out[far] = self._select(k[far], False)
+        return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -82,8 +116,10 @@ class EliasFano:
             return np.zeros(len(x), np.int64) + self.n, np.zeros(len(x), bool)
         high = (x >> U(self.width)).astype(np.int64)
         last = int(self.zeros[-1]) - 1
-        lo = np.where(high > 0, self._select(np.clip(high - 1, 0, last), False) - (high - 1), 0)
-        hi = end = self._select(np.clip(high, 0, last), False) - high
+        high = np.clip(high, 0, last)  # beyond the last value there are zeros only
+        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
+        lo = begin - high
+        hi = end = self._next_zero(begin, high) - high
         lo, hi = np.clip(lo, 0, self.n), np.clip(hi, 0, self.n)
         want, end = x & U((1 << self.width) - 1), hi.copy()
         active = np.flatnonzero(lo < hi)

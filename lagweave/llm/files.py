@@ -87,7 +87,7 @@ def open_arrays(uri: str) -> tuple[dict[str, np.ndarray], dict]:
     fs, path = located(uri)
     local = isinstance(fs, pafs.LocalFileSystem)
     if local:
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
         n = int.from_bytes(raw[:8].tobytes(), "little")
         head = json.loads(raw[8 : 8 + n].tobytes())
     else:

@@ -140,3 +140,22 @@ def test_pages_read_like_the_file(tmp_path, monkeypatch):
     assert isinstance(arrays["low"], files.Paged)
     coded = elias_fano.EliasFano(arrays)
     assert (coded.get(np.arange(0, 200_000, 7)) == v[::7]).all() and coded.successor(v[:50])[1].all() and len(files._pages) <= 2
+
+
+def test_places_of_bits_and_values():
+    """Bits found in a word, and successors also where runs of ones are long or the value is beyond the last one."""
+    import numpy as np
+
+    from lagweave.llm import elias_fano as ef
+
+    r = np.random.default_rng(2)
+    words = np.concatenate([r.integers(0, 1 << 63, 200, dtype=np.uint64), np.array([1, 1 << 63, (1 << 64) - 1], np.uint64)])
+    for w in words:
+        places = [i for i in range(64) if int(w) >> i & 1]
+        assert ef.select_in_word(np.full(len(places), w), np.arange(len(places))).tolist() == places
+    for values in (np.sort(r.integers(0, 5000, 3000)), np.repeat([7, 4999], 700), np.arange(5000), np.array([3])):
+        coded = ef.EliasFano(ef.encode(values.astype(np.uint64), 5000))
+        for x in (np.arange(6000), np.array([0, 4999]), np.array([5900])):  # many places and few
+            at, equal = coded.successor(x.astype(np.uint64))
+            assert at.tolist() == np.searchsorted(values, x).tolist() and equal.tolist() == np.isin(x, values).tolist()
+        assert coded.get(np.arange(len(values))).tolist() == values.tolist()
