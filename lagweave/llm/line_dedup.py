@@ -28,12 +28,15 @@ BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figur
 TAGS = r"<[^>]*>"
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 EDGES = r"^[ \t\r\f]+|[ \t\r\f]+$"
+#: EDGES' characters, and HIDDEN with its common first character put before the choice, so that it is tried at that alone.
+BLANKS = " \t\r\f"
+HIDDEN_FIRST = r"(?is)<(?:!--.*?-->|script\b.*?</script>|style\b.*?</style>)"
 # ----------------------------------------------------------------------------------------------------
 
 
 def html_text(html):
     """A page's text, a line per block element."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, "\n"), BREAKS, "\n"), TAGS, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN_FIRST, "\n"), BREAKS, "\n"), TAGS, "")
 
 
 def url_host(url):
@@ -41,7 +44,8 @@ def url_host(url):
 
 
 def trimmed(line):
-    return F.regexp_replace(line, EDGES, "")
+    """line without the blanks that EDGES finds at its ends."""
+    return F.btrim(line, F.lit(BLANKS))
 
 
 def print_of(line):
@@ -75,7 +79,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST,
         spread = sets.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = marked.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(spread, [s, salt], "left")
     lines = F.split(t, "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(own, print_of(trimmed(x))) | (trimmed(x) == ""))
+    kept = F.filter(lines, lambda x: (trimmed(x) == "") | ~F.array_contains(own, print_of(trimmed(x))))
     count = lambda a: F.size(F.filter(a, lambda x: trimmed(x) != "")).cast("long")
     joined = joined.withColumn(keep, F.when(F.col(own).isNotNull() & F.col(t).isNotNull(), kept))
     had = F.when(F.col(t).isNull(), F.lit(0).cast("long")).otherwise(count(lines))
@@ -83,7 +87,8 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST,
         *(F.col(f"`{c}`") for c in rest),
         F.when(F.col(keep).isNull(), F.col(t)).otherwise(F.array_join(keep, "\n")).alias(text),
         had.alias("n_lines"),
-        F.when(F.col(keep).isNull(), F.lit(0).cast("long")).otherwise(count(lines) - count(F.col(keep))).alias("n_dropped"),
+        # Blank lines are never dropped, so those dropped are the difference of all lines.
+        F.when(F.col(keep).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(keep)).cast("long").alias("n_dropped"),
     )
 
 

@@ -59,3 +59,14 @@ def test_clashing_names_and_types(spark, monkeypatch):
 
 def test_odd_rows(odd):
     assert line_dedup.drop_boilerplate(odd, host="source").count() == 12
+
+
+def test_trimming_and_hidden_parts(spark):
+    """Only the blanks of EDGES go, also before characters that Java takes for line ends; HIDDEN_FIRST finds what HIDDEN does."""
+    lines = [" a\t", "a \u0085", "a  ", "\r\f a b \r", "", " \t", " a "]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.line: r.t for r in df.select("line", line_dedup.trimmed(F.col("line")).alias("t")).collect()} == {x: trim(x) for x in lines}
+    html = ["a<!-- x\n-->b", "<SCRIPT a>x\n</script >y</ScrIpt>z", "<styled>q</styled><style>q</STYLE>", "<scripts>x</script>", "<<!---->>", "<!-- open", "<script>1</style>"]
+    df = spark.createDataFrame([(x,) for x in html], "h string")
+    found = df.select(*(F.regexp_replace("h", x, "|") for x in (line_dedup.HIDDEN, line_dedup.HIDDEN_FIRST))).collect()
+    assert all(a == b for a, b in found) and found[0][0] == "a|b"
