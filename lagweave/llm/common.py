@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ ALNUM = bytes(
 )
 #: The characters that ALNUM blanks, for F.translate.
 BLANKED = "".join(chr(c) for c in range(128) if ALNUM[c] == 32)
+#: Bytes of an Arrow batch of texts under small_batches.
+BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +46,19 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: str = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of what runs meanwhile have about so many bytes, as those of Spark's default size, filled with
+    texts, take memory several times over in Java and Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where df has columns of these names."""
     have, out = {c.lower() for c in df.columns}, []

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, with_row_id
+from .common import fresh, materialize, small_batches, with_row_id
 from .components import components
 from .tokens import mixed
 
@@ -142,8 +142,8 @@ def measured(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, j double")
 
 
-def texts_of(sets: DataFrame, end: str) -> DataFrame:
-    return sets.select(F.col("s").alias(end), F.col("text").alias(f"t{end}"))
+def texts_of(texts: DataFrame, end: str) -> DataFrame:
+    return texts.select(F.col("_row").alias(f"r{end}"), F.col("text").alias(f"t{end}"))
 
 
 def keyed(sets: DataFrame, count: int) -> DataFrame:
@@ -155,8 +155,8 @@ def keyed(sets: DataFrame, count: int) -> DataFrame:
     return by_bits.union(by_first)
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Similar pairs (a, b) of sets (s, n, f, few, bits, text), s being unique."""
+def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of sets (s, _row, n, f, few, bits), s being unique; texts: (_row, text)."""
     size = F.count("*").over(Window.partitionBy("key"))
     rows = keyed(sets, sets.count()).withColumn("size", size).where("size > 1")
     few = rows.where(F.col("size") <= SMALL)
@@ -167,11 +167,11 @@ def links(sets: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     pairs = near.select(none.alias("key"), F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("n"), F.col("x.g").alias("g"))
     met = materialize(pairs.union(rows.where(F.col("size") > SMALL).select("key", F.col("s").alias("a"), none.alias("b"), "n", "g")), "met")
-    found = similar_pairs(met.where("b is not null").select("a", "b"), sets)
+    found = similar_pairs(met.where("b is not null").select("a", "b"), sets, texts)
     large = pivoted(met.where("b is null").select("key", F.col("a").alias("s"), "n"), sets)
-    stars = similar_pairs(large.where((F.col("d0") <= REACH) & (F.col("s") != F.col("r"))).select(F.col("s").alias("a"), F.col("r").alias("b")), sets)
+    stars = similar_pairs(large.where((F.col("d0") <= REACH) & (F.col("s") != F.col("r"))).select(F.col("s").alias("a"), F.col("r").alias("b")), sets, texts)
     linked = materialize(components(found.union(stars)), "linked")
-    return materialize(found.union(stars).union(similar_pairs(left_over(large, linked, sets), sets)), "links")
+    return materialize(found.union(stars).union(similar_pairs(left_over(large, linked, sets), sets, texts)), "links")
 
 
 def pivoted(crowded: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,13 +186,14 @@ def pivoted(crowded: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(salted.join(references, ["key", "salt"]).select("key", salted["s"], "n", F.col("r0.s").alias("r"), *table), "pivoted")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct similar ones of pairs (a, b)."""
-    told = sets.select("s", "n", "f", "bits")
+def similar_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct similar ones of pairs (a, b). Texts, found by _row, join what is left to verify."""
+    told = sets.select("s", "_row", "n", "f", "bits")
     pairs = pairs.distinct().join(told.alias("x"), F.col("a") == F.col("x.s")).join(told.alias("y"), F.col("b") == F.col("y.s"))
-    pairs = materialize(pairs.where(may_be_alike("x", "y")).select("a", "b"), "pairs")
-    both = pairs.join(texts_of(sets, "a"), "a").join(texts_of(sets, "b"), "b")
-    return materialize(measured(both).where(F.col("j") >= SIMILAR).select("a", "b"), "similar")
+    pairs = materialize(pairs.where(may_be_alike("x", "y")).select("a", "b", F.col("x._row").alias("ra"), F.col("y._row").alias("rb")), "pairs")
+    both = pairs.join(texts_of(texts, "a"), "ra").join(texts_of(texts, "b"), "rb")
+    with small_batches(pairs.sparkSession):
+        return materialize(measured(both).where(F.col("j") >= SIMILAR).select("a", "b"), "similar")
 
 
 def left_over(large: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,10 +217,11 @@ def left_over(large: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame
 
 def firsts(docs: DataFrame) -> DataFrame:
     """first: the least doc_id of each component of docs (doc_id, text) that has one."""
-    scanned = materialize(with_row_id(sketches(docs), "_row"), "sketches")
+    with small_batches(docs.sparkSession):
+        scanned = materialize(with_row_id(sketches(docs), "_row"), "sketches")
     nodes = materialize(scanned.groupBy("s").agg(F.min("doc_id").alias("first"), F.min("_row").alias("_row")), "nodes")
-    sets = materialize(scanned.select("_row", "s", "n", "f", "few", "bits", "text").join(nodes.select("_row"), "_row"), "sets")
-    linked = components(links(sets))
+    sets = materialize(scanned.select("_row", "s", "n", "f", "few", "bits").join(nodes.select("_row"), "_row"), "sets")
+    linked = components(links(sets, scanned.select("_row", "text")))
     named = nodes.join(linked, F.col("s") == F.col("node"), "left").select("first", F.coalesce("component", "s").alias("c"))
     return named.groupBy("c").agg(F.min("first").alias("first")).where("first is not null").select("first")
 

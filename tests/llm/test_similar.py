@@ -117,3 +117,27 @@ def test_pairs_at_the_least_similarity_share_a_bucket():
             h = r.integers(0, 1 << 63, n, dtype=np.uint64)
             a, b = np.sort(h), np.sort(h[: -(-4 * n // 5)])
             assert {*similar.first_shingles(a).tolist()} & {*similar.first_shingles(b).tolist()}
+
+
+def test_texts_go_in_small_batches_and_are_kept_once(spark, monkeypatch):
+    """What the largest Arrow batch of 20 MB of texts takes while texts are hashed and verified."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    wide = spark.range(0, 200, 1, 1).selectExpr("repeat('x', 100000) t")
+    largest = lambda: max(r.n for r in wide.mapInArrow(sizes, "n bigint").collect())
+    plain, seen, texts, keep = largest(), {}, [], similar.materialize
+
+    def watched(df, what):
+        if what in ("sketches", "similar"):
+            seen[what] = max(seen.get(what, 0), largest())
+        texts.extend([what] * ("text" in df.columns))
+        return keep(df, what)
+
+    monkeypatch.setattr(similar, "materialize", watched)
+    assert similar.keep_one(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "b")], "doc_id bigint, text string")).count() == 2
+    assert {*seen} == {"sketches", "similar"} and max(seen.values()) < 5 << 20
+    assert texts == ["sketches"] and largest() == plain
