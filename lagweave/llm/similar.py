@@ -4,12 +4,12 @@ Two texts are linked if their sets of five-word shingles have a similarity of SI
 op4, from SimHash fingerprints that meet in buckets of bits and are told apart by their distances to references of the
 bucket, with a reach that such pairs need: at 0.8 a bit of theirs agrees with a chance of AGREE, so that they lie about
 10 of 64 bits apart, and no choice of blocks leaves all of them out. Fingerprints have WORDS words of 64 bits, and a
-bucket is where a choice of a word's bits agrees; there are so many choices that a pair at 0.8 shares a bucket with a
-chance of 0.9998 or more (`tables`). Majorities among few shingles are rough, so sets of up to TINY shingles also meet
+bucket is where a choice of a word's bits agrees; there are so many choices that a pair at 0.8 shares two buckets with a
+chance of 0.9998 or more (`tables`), so pairs that meet in one small bucket alone, as unlike sets do, are not looked at. Majorities among few shingles are rough, so sets of up to TINY shingles also meet
 where they share one of their first shingles in the order of hashes, which loses no pair at all.
 
 Texts of equal sets meet first, so copies cost one row. In buckets of up to SMALL sets all pairs are looked at: those
-further than CLOSE apart in another word of their fingerprints are discarded. In larger ones the distances of each
+further than CLOSE apart in another word of their fingerprints are discarded, and those that are left in one bucket only. In larger ones the distances of each
 fingerprint to REFERENCES of the bucket's own (the same for all buckets of a dense group, mostly) make a table; near
 references link most of a dense group as stars, in rows that grow with its size and not with its pairs. What is left
 there are sets of different components: by the triangle inequality pairs whose distances to some reference differ by
@@ -69,10 +69,10 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
 
 def tables(count: int) -> list[tuple[int, int, int]]:
     """(number, word, mask) of every choice of bits: more bits for more sets, so that buckets stay small, and as many
-    choices as a pair at SIMILAR then needs to share 13 of them on average."""
+    choices as a pair at SIMILAR then needs to share 14 of them on average."""
     bits = max(8, count.bit_length() - 2)
     out = []
-    for i in range(math.ceil(13 / AGREE**bits)):
+    for i in range(math.ceil(14 / AGREE**bits)):
         chosen = sorted(range(64), key=lambda b: xxhash.xxh64_intdigest(b"table %d %d" % (i, b), SEED))[:bits]  # noqa: B023
         mask = sum(1 << b for b in chosen)
         out.append((i, i % WORDS, mask - (1 << 64) if mask >> 63 else mask))
@@ -167,23 +167,26 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     pairs = near.select(none.alias("key"), F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("n"), F.col("x.g").alias("g"))
     met = materialize(pairs.union(rows.where(F.col("size") > SMALL).select("key", F.col("s").alias("a"), none.alias("b"), "n", "g")), "met")
-    found = similar_pairs(met.where("b is not null").select("a", "b"), sets, texts)
+    # Two small buckets, or one first shingle (whose g is null); what meets in a large bucket needs no other.
+    twice = met.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("all"), F.count("g").alias("by_bits")).where("all > 1 or by_bits = 0")
+    found = similar_pairs(twice.select("a", "b"), sets, texts)
     large = pivoted(met.where("b is null").select("key", F.col("a").alias("s"), "n"), sets)
     stars = similar_pairs(large.where((F.col("d0") <= REACH) & (F.col("s") != F.col("r"))).select(F.col("s").alias("a"), F.col("r").alias("b")), sets, texts)
     linked = materialize(components(found.union(stars)), "linked")
-    return materialize(found.union(stars).union(similar_pairs(left_over(large, linked, sets), sets, texts)), "links")
+    return materialize(found.union(stars).union(similar_pairs(left_over(large, linked), sets, texts)), "links")
 
 
 def pivoted(crowded: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (key, s, n, r, d0, d1, ...) of large buckets: distances to the bucket's references, and the first of these."""
-    rows = crowded.join(sets.select("s", "f"), "s")
+    """Rows (key, s, n, f, bits, r, d0, d1, ...) of large buckets: distances to the bucket's references, and the first of
+    these."""
+    rows = materialize(crowded.join(sets.select("s", "f", "bits"), "s"), "crowded")
     # The same order in every bucket, so that a dense group has the same references in most of its buckets.
     least = [F.min(F.struct(F.xxhash64(F.lit(i), "s").alias("o"), "s", "f")).alias(f"r{i}") for i in range(REFERENCES)]
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     references = rows.groupBy("key").agg(*least).select("*", spread)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int"))
     table = [differ("f", f"r{i}.f", WORDS).alias(f"d{i}") for i in range(REFERENCES)]
-    return materialize(salted.join(references, ["key", "salt"]).select("key", salted["s"], "n", F.col("r0.s").alias("r"), *table), "pivoted")
+    return materialize(salted.join(references, ["key", "salt"]).select("key", salted["s"], "n", salted["f"], "bits", F.col("r0.s").alias("r"), *table), "pivoted")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,13 +199,13 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFr
         return materialize(measured(both).where(F.col("j") >= SIMILAR).select("a", "b"), "similar")
 
 
-def left_over(large: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
+def left_over(large: DataFrame, linked: DataFrame) -> DataFrame:
     """Pairs (a, b) of one large bucket and different components that neither references nor bitmaps tell apart."""
     rows = materialize(large.join(linked, F.col("s") == F.col("node"), "left").withColumn("c", F.coalesce("component", "s")).drop("node", "component"), "labelled")
     sizes = rows.groupBy("key", "c").count()
     mixed_ones = sizes.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key", "main")
     cell = F.floor(F.col("d0") / REACH)
-    rows = rows.join(mixed_ones, "key").join(sets.select("s", "f", "bits"), "s")
+    rows = rows.join(mixed_ones, "key")
     x = rows.where("c != main").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     y = rows.withColumn("cell", cell)
     on = (F.col("x.c") != F.col("y.c")) & alike(F.col("x.n"), F.col("y.n"))

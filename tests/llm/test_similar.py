@@ -141,3 +141,38 @@ def test_texts_go_in_small_batches_and_are_kept_once(spark, monkeypatch):
     assert similar.keep_one(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "b")], "doc_id bigint, text string")).count() == 2
     assert {*seen} == {"sketches", "similar"} and max(seen.values()) < 5 << 20
     assert texts == ["sketches"] and largest() == plain
+
+
+def test_pairs_at_the_least_similarity_share_two_buckets():
+    """Of pairs at exactly 0.8 hardly one is close in fewer than two buckets."""
+    import numpy as np
+
+    r = np.random.default_rng(13)
+    for count in (200, 50_000):
+        rows = similar.tables(count)
+        word, mask = np.array([w for _, w, _ in rows]), np.array([m for *_, m in rows])
+        lost = 0
+        for _ in range(3000):
+            h = r.integers(0, 1 << 63, 100, dtype=np.uint64)
+            x = similar.fingerprint(np.sort(h[:90])) ^ similar.fingerprint(np.sort(h[10:]))
+            close = np.bitwise_count(x[(word + similar.WORDS // 2) % similar.WORDS].view(np.uint64)) <= similar.CLOSE
+            lost += (((x[word] & mask) == 0) & close).sum() < 2
+        assert lost <= 3
+
+
+def test_unlike_pairs_of_one_bucket_are_not_looked_at(spark, monkeypatch):
+    """Texts that share a long passage but not enough of it: few of their pairs are left for fingerprints to be joined."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passage = [word() for _ in range(40)]
+    rows = [(i, " ".join(passage + [word() for _ in range(60)])) for i in range(300)]
+    pairs, verify = [], similar.similar_pairs
+
+    def watched(found, *rest):
+        pairs.append(found.distinct().count())
+        return verify(found, *rest)
+
+    monkeypatch.setattr(similar, "similar_pairs", watched)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert similar.keep_one(df).count() == 300
+    assert pairs[0] <= 5000  # of 44,850; 12,394 meet in one small bucket or more
